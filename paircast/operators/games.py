@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from paircast.functions.boxscore import ADVANCED_METRICS, FOUR_FACTORS, away_flag, home_flag, season_label
@@ -65,10 +67,18 @@ def valid_contests(log: DataFrame) -> DataFrame:
     )
 
 
+def all_present(columns: list[str]) -> Column:
+    """Every column has a value, as separate conjuncts.
+
+    One predicate over all columns (as `na.drop` builds it) makes constraint
+    propagation double its work with every renamed column.
+    """
+    return reduce(lambda acc, c: acc & F.col(c).isNotNull(), columns[1:], F.col(columns[0]).isNotNull())
+
+
 def ready_rows(features: DataFrame) -> DataFrame:
     """Rows whose rolling columns and win count are all present."""
-    needed = [c for c in features.columns if "_roll_" in c or c == "win_streak"]
-    return features.na.drop(subset=needed)
+    return features.filter(all_present([c for c in features.columns if "_roll_" in c or c == "win_streak"]))
 
 
 def game_results(log: DataFrame, teams: DataFrame) -> DataFrame:

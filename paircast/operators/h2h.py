@@ -128,11 +128,11 @@ def with_h2h(contests: DataFrame, records: DataFrame, on_date: bool) -> DataFram
     for side, other in (("home", "away"), ("away", "home")):
         keys = {"team_id": f"{side}_team_id", "opp_id": f"{other}_team_id"}
         table = records.withColumnsRenamed({**keys, **{c: f"{side}_{c}" for c in H2H_DEFAULTS}})
-        met = table.withColumn("_met", F.lit(True))
         on = [*keys.values(), "game_date"] if on_date else list(keys.values())
-        out = out.join(met, on, "left")
-        for name, default in H2H_DEFAULTS.items():
-            column = f"{side}_{name}"
-            out = out.withColumn(column, F.when(F.col("_met"), F.col(column)).otherwise(F.lit(default)))
-        out = out.drop("_met")
+        filled = [
+            F.when(F.col("_met"), F.col(f"{side}_{c}")).otherwise(F.lit(default)).alias(f"{side}_{c}")
+            for c, default in H2H_DEFAULTS.items()
+        ]
+        kept = out.columns
+        out = out.join(table.withColumn("_met", F.lit(True)), on, "left").select(*kept, *filled)
     return out

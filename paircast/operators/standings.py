@@ -122,9 +122,9 @@ def with_standings(contests: DataFrame, standings: DataFrame) -> DataFrame:
     for side in ("home", "away"):
         columns = [F.col(c).alias(f"_{c}") for c in STANDINGS_DEFAULTS]
         table = standings.select("game_date", F.col("team_id").alias(f"{side}_team_id"), *columns)
-        out = out.join(table, ["game_date", f"{side}_team_id"], "left")
-        for name, default in STANDINGS_DEFAULTS.items():
-            out = out.withColumn(f"{side}_{name}", F.coalesce(f"_{name}", F.lit(default))).drop(f"_{name}")
+        filled = [F.coalesce(f"_{c}", F.lit(value)).alias(f"{side}_{c}") for c, value in STANDINGS_DEFAULTS.items()]
+        kept = out.columns
+        out = out.join(table, ["game_date", f"{side}_team_id"], "left").select(*kept, *filled)
     return with_standings_diff(out)
 
 

@@ -6,7 +6,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from paircast.constants import FORM_COLUMNS, H2H_DEFAULTS, ROLLED_STATS, STANDINGS_DEFAULTS
 from paircast.operators.form import form_features
-from paircast.operators.games import advanced_metrics, four_factors, pair_sides, ready_rows, valid_contests, with_side_flags
+from paircast.operators.games import (
+    advanced_metrics,
+    all_present,
+    four_factors,
+    pair_sides,
+    ready_rows,
+    valid_contests,
+    with_side_flags,
+)
 from paircast.operators.h2h import h2h_asof, with_h2h
 from paircast.operators.standings import standings_asof, with_standings
 
@@ -58,4 +66,4 @@ def contest_table(log: DataFrame, conference: Column, window: int = 20, cohort:
     records = h2h_asof(valid_contests(log))
     table = standings_asof(log, conference, cohort)
     joined = with_standings(with_h2h(contests, records, on_date=True), table)
-    return joined.select(*contest_columns()).na.drop("any")
+    return joined.select(*contest_columns()).filter(all_present(contest_columns()))
