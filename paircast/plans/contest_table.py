@@ -41,7 +41,7 @@ def enriched_log(log: DataFrame, window: int = 20) -> DataFrame:
 
 def matched_sides(features: DataFrame) -> DataFrame:
     """Home and away form of each valid contest, prefixed, with the label."""
-    columns = side_features()
+    columns = [c for c in side_features() if c in features.columns]
     rows = with_side_flags(ready_rows(features))
     sides = pair_sides(rows, ["game_id", "game_date", "team_id", "wl", *columns])
     prefixed = [
