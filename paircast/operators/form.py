@@ -38,22 +38,43 @@ def form_features(
     order = Window.partitionBy(entity, "_block").orderBy("seq")
     columns = {}
     if rolling:
-        past = order.rowsBetween(-window, -1)
-        for stat in stats:
-            enough = F.count(stat).over(past) >= ROLL_MIN
-            columns[f"{stat}_roll_mean"] = F.when(enough, F.avg(stat).over(past))
-            columns[f"{stat}_roll_std"] = F.when(enough, F.stddev_samp(stat).over(past))
+        rows, rolled = _rolling_columns(rows, order, stats, window)
+        columns.update(rolled)
     if ewm:
         columns.update(_ewm_columns(order, stats))
     if momentum:
         rows, extra = _momentum_columns(rows, order)
         columns.update(extra)
-    out = own_rows(rows.withColumns(columns))
+    out = own_rows(rows.withColumns(columns)).drop(*[f"_base_{s}" for s in stats])
     if momentum:
         out = out.withColumns(_rest_columns()).drop("_won", "_gap", "_dense")
     return out.drop("seq")
 
 
+def _rolling_columns(rows: DataFrame, order, stats, window: int) -> tuple[DataFrame, dict]:
+    """Mean and sample deviation of the previous `window` rows.
+
+    A sliding frame would add up all its rows again for every row. Two running
+    sums, one ending before this row and one ending before the frame, cost one
+    addition each; their difference is the frame. Values are taken relative to
+    the block's first one, so little is lost in the subtraction.
+    """
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({f"_base_{s}": F.first(s, ignorenulls=True).over(so_far).cast("double") for s in stats})
+    past = order.rowsBetween(Window.unboundedPreceding, -1)
+    older = order.rowsBetween(Window.unboundedPreceding, -window - 1)
+    inside = lambda total: F.coalesce(total.over(past), F.lit(0)) - F.coalesce(total.over(older), F.lit(0))
+    columns = {}
+    for stat in stats:
+        base = F.col(f"_base_{stat}")
+        off = F.col(stat) - base
+        n, total, squares = inside(F.count(stat)), inside(F.sum(off)), inside(F.sum(off * off))
+        count = F.when(n >= ROLL_MIN, n)
+        columns[f"{stat}_roll_mean"] = base + total / count
+        columns[f"{stat}_roll_std"] = F.sqrt(F.greatest(count * squares - total * total, F.lit(0.0)) / (count * (count - 1)))
+    return rows, columns
+
+
 def _ewm_columns(order, stats, span: int = 10) -> dict:
     """Exponential mean with adjusted weights, as a ratio of two running sums.
 

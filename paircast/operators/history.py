@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from paircast.functions.prediction import confidence_tier
+from paircast.operators.sequence import with_sequence
 
 KEY = ["date", "away_team", "home_team"]
 
@@ -68,6 +69,20 @@ def backfill(history: DataFrame, results: DataFrame, dates: DataFrame | None = N
     )
 
 
+def ranked_by_confidence(predictions: DataFrame, day: str = "game_date", key: str = "game_id") -> DataFrame:
+    """Add `place` within a day, most confident first.
+
+    Bands of confidence are the chunks of the order, so a day with very many
+    predictions is ranked by many tasks.
+    """
+    banded = predictions.withColumn("_band", -F.floor(F.col("confidence") * 1000))
+    return with_sequence(banded, [day], "_band", [F.desc("confidence"), key], "place").drop("_band")
+
+
+def tier_picks(predictions: DataFrame, low: float = 0.30) -> DataFrame:
+    return predictions.filter(F.col("confidence") >= low)
+
+
 def save_gate(predictions: DataFrame, all_finished: Column, day: Column, today: Column) -> DataFrame:
     """Nothing is saved for a board that is all final and not of today."""
     return predictions.filter(~(all_finished & (day != today)))

@@ -5,7 +5,9 @@ key along its own order instead:
 
 * a *chunk* is a column that never decreases along the order (here the day);
   ranks are taken inside a chunk and shifted by the chunk's offset, which comes
-  from a table with one row per key and chunk;
+  from a table with one row per key and chunk. On a cluster a chunk is cut once
+  more into equal ranges of a numeric order column, so that one day with most of
+  the rows is no single task either;
 * a *block* is a fixed number of consecutive rows of a key, together with a
   halo of rows copied from the block before it, so that any frame that reaches
   back at most `halo` rows is complete inside one block.
@@ -16,26 +18,53 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 BLOCK_ROWS = 2048
+PARTITIONS_PER_SLICE = 16
 
 
-def chunk_offsets(df: DataFrame, keys: list[str], chunk: str, offset: str = "_offset") -> DataFrame:
-    """Rows of the key in earlier chunks; one output row per key and chunk."""
-    sizes = df.groupBy(*keys, chunk).agg(F.count(F.lit(1)).alias("_size"))
-    earlier = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
-    return sizes.select(
-        *keys, chunk, "_size", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias(offset)
-    )
+def _slice_count(df: DataFrame) -> int:
+    """Ranges per chunk, in step with the partitions the session is sized for."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // PARTITIONS_PER_SLICE
+
+
+def _sliced(df: DataFrame, chunk: str, order: list, slices: int | None) -> tuple[DataFrame, list[str]]:
+    """Add a finer chunk from ranges of the first order column, if it is a number."""
+    count = _slice_count(df) if slices is None else slices
+    first = order[0] if order and isinstance(order[0], str) else None
+    if count < 2 or first is None or df.schema[first].dataType.typeName() not in ("long", "integer", "double"):
+        return df, [chunk]
+    bounds = df.agg(F.min(first).alias("low"), F.max(first).alias("high")).select(F.struct("low", "high")).scalar()
+    low, high = bounds["low"], bounds["high"]
+    share = (F.col(first) - low) / F.greatest((high - low).cast("double"), F.lit(1.0))
+    return df.withColumn("_slice", F.floor(share * count)), [chunk, "_slice"]
 
 
-def with_sequence(df: DataFrame, keys: list[str], chunk: str, order: list, name: str = "seq") -> DataFrame:
+def _carried(df: DataFrame, keys: list[str], chunks: list[str], amount: Column, name: str) -> DataFrame:
+    """Sum of `amount` over the key's earlier chunks; one row per key and chunk.
+
+    With slices the carry is taken in two steps (days, then ranges of a day),
+    so that no ordered window grows beyond the calendar or the slice count.
+    """
+    sums = df.groupBy(*keys, *chunks).agg(amount.alias("_amount"))
+    before = lambda by, order: Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = lambda c, by, order: F.coalesce(F.sum(c).over(before(by, order)), F.lit(0))
+    if len(chunks) == 1:
+        return sums.select(*keys, *chunks, earlier("_amount", keys, chunks[0]).alias(name))
+    coarse = sums.groupBy(*keys, chunks[0]).agg(F.sum("_amount").alias("_amount"))
+    coarse = coarse.select(*keys, chunks[0], earlier("_amount", keys, chunks[0]).alias("_coarse"))
+    fine = sums.select(*keys, *chunks, earlier("_amount", [*keys, chunks[0]], chunks[1]).alias("_fine"))
+    return fine.join(coarse, [*keys, chunks[0]]).select(*keys, *chunks, (F.col("_fine") + F.col("_coarse")).alias(name))
+
+
+def with_sequence(df: DataFrame, keys: list[str], chunk: str, order: list, name: str = "seq", slices: int | None = None) -> DataFrame:
     """Row number per key in (chunk, order), computed chunk by chunk."""
-    inside = Window.partitionBy(*keys, chunk).orderBy(*order)
-    offsets = chunk_offsets(df, keys, chunk).drop("_size")
+    rows, chunks = _sliced(df, chunk, order, slices)
+    inside = Window.partitionBy(*keys, *chunks).orderBy(*order)
+    offsets = _carried(rows, keys, chunks, F.count(F.lit(1)), "_offset")
     return (
-        df.withColumn("_local", F.row_number().over(inside))
-        .join(offsets, [*keys, chunk])
+        rows.withColumn("_local", F.row_number().over(inside))
+        .join(offsets, [*keys, *chunks])
         .withColumn(name, F.col("_local") + F.col("_offset"))
-        .drop("_local", "_offset")
+        .drop("_local", "_offset", "_slice")
     )
 
 
@@ -62,18 +91,17 @@ def own_rows(df: DataFrame) -> DataFrame:
     return df.filter("_own").drop("_block", "_own", "_pos")
 
 
-def with_running_count(df: DataFrame, keys: list[str], chunk: str, order: list, test: Column, name: str) -> DataFrame:
+def with_running_count(df: DataFrame, keys: list[str], chunk: str, order: list, test: Column, name: str, slices: int | None = None) -> DataFrame:
     """Rows up to and including this one that pass `test`, per key."""
-    inside = Window.partitionBy(*keys, chunk).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows, chunks = _sliced(df, chunk, order, slices)
+    inside = Window.partitionBy(*keys, *chunks).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     hit = F.when(test, 1).otherwise(0)
-    totals = df.groupBy(*keys, chunk).agg(F.sum(hit).alias("_hits"))
-    earlier = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
-    carry = totals.select(*keys, chunk, F.coalesce(F.sum("_hits").over(earlier), F.lit(0)).alias("_carry"))
+    carry = _carried(rows, keys, chunks, F.sum(hit), "_carry")
     return (
-        df.withColumn("_inside", F.sum(hit).over(inside))
-        .join(carry, [*keys, chunk])
+        rows.withColumn("_inside", F.sum(hit).over(inside))
+        .join(carry, [*keys, *chunks])
         .withColumn(name, F.col("_inside") + F.col("_carry"))
-        .drop("_inside", "_carry")
+        .drop("_inside", "_carry", "_slice")
     )
 
 

@@ -5,26 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from paircast.constants import STANDINGS_DEFAULTS
+from paircast.operators.sequence import with_sequence
 
 
 def daily_records(log: DataFrame, keys: list[str]) -> DataFrame:
     """Per entity and day: wins, losses and the place of the last win and loss.
 
-    Only rows with a result count. Everything later works on this day table,
-    whose size is bounded by the calendar and not by the log.
+    Only rows with a result count; places run over the entity's whole history.
+    Everything later works on this day table, whose size is bounded by the
+    calendar and not by the log.
     """
-    inside = Window.partitionBy(*keys, "game_date").orderBy("game_id")
     won, lost = F.col("wl") == "W", F.col("wl") == "L"
+    decided = log.filter(won | lost).select(*keys, "game_date", "game_id", "wl")
     return (
-        log.filter(won | lost)
-        .select(*keys, "game_date", "game_id", "wl")
-        .withColumn("_at", F.row_number().over(inside))
+        with_sequence(decided, keys, "game_date", ["game_id"])
         .groupBy(*keys, "game_date")
         .agg(
             F.sum(won.cast("int")).alias("day_wins"),
             F.sum(lost.cast("int")).alias("day_losses"),
-            F.max(F.when(won, F.col("_at"))).alias("day_last_win"),
-            F.max(F.when(lost, F.col("_at"))).alias("day_last_loss"),
+            F.max(F.when(won, F.col("seq"))).alias("day_last_win"),
+            F.max(F.when(lost, F.col("seq"))).alias("day_last_loss"),
         )
     )
 
@@ -74,36 +74,26 @@ def standings_asof(log: DataFrame, conference: Column, cohort: str | None = None
         spine = entities.withColumn("_days", dates.scalar())
     spine = spine.select(*keys, F.explode("_days").alias("game_date"))
     past = Window.partitionBy(*keys).orderBy("game_date").rowsBetween(Window.unboundedPreceding, -1)
-    played_before = F.coalesce(
-        F.sum(F.coalesce(F.col("day_wins") + F.col("day_losses"), F.lit(0))).over(past), F.lit(0)
-    )
-    filled = spine.join(days, [*keys, "game_date"], "left").withColumn("_before", played_before)
+    filled = spine.join(days, [*keys, "game_date"], "left")
     records = filled.select(
         *keys,
         "game_date",
         F.coalesce(F.sum("day_wins").over(past), F.lit(0)).alias("wins"),
         F.coalesce(F.sum("day_losses").over(past), F.lit(0)).alias("losses"),
-        _signed_streak(
-            F.max(F.col("_before") + F.col("day_last_win")).over(past),
-            F.max(F.col("_before") + F.col("day_last_loss")).over(past),
-        ).alias("_gap"),
+        _signed_streak(F.max("day_last_win").over(past), F.max("day_last_loss").over(past)).alias("streak"),
     )
     records = records.withColumn("win_pct", _win_pct(F.col("wins"), F.col("losses"))).withColumn("conf", conference)
-    return _with_ranks(records.withColumnRenamed("_gap", "streak"), [*extra, "game_date"])
+    return _with_ranks(records, [*extra, "game_date"])
 
 
 def standings_at_date(log: DataFrame, day: str, conference: Column) -> DataFrame:
     """The table from contests before one day, only entities that played."""
     past = log.filter(F.col("game_date") < F.lit(day).cast("date"))
-    totals = Window.partitionBy("team_id").orderBy("game_date").rowsBetween(Window.unboundedPreceding, -1)
-    days = daily_records(past, ["team_id"]).withColumn(
-        "_before", F.coalesce(F.sum(F.col("day_wins") + F.col("day_losses")).over(totals), F.lit(0))
-    )
-    decided = days.groupBy("team_id").agg(
+    decided = daily_records(past, ["team_id"]).groupBy("team_id").agg(
         F.sum("day_wins").alias("wins"),
         F.sum("day_losses").alias("losses"),
-        F.max(F.col("_before") + F.col("day_last_win")).alias("_win"),
-        F.max(F.col("_before") + F.col("day_last_loss")).alias("_loss"),
+        F.max("day_last_win").alias("_win"),
+        F.max("day_last_loss").alias("_loss"),
     )
     seen = past.select("team_id").distinct().join(decided, "team_id", "left")
     records = seen.select(

@@ -187,7 +187,7 @@ def filter_matches(spark, sf_dir):
     f"WITH {MATCHES_SQL} SELECT {i8('game_id')} FROM (SELECT game_id FROM predictions WHERE confidence >= 0.3 UNION SELECT game_id FROM matches)",
 )
 def recommended_union(spark, sf_dir):
-    picks = T.predictions(spark, sf_dir).filter("confidence >= 0.3")
+    picks = H.tier_picks(T.predictions(spark, sf_dir))
     return tidy(S.recommended(picks, _matches(spark, sf_dir), ["game_id"]))
 
 
@@ -195,10 +195,7 @@ _RANKED = "row_number() OVER (PARTITION BY game_date ORDER BY confidence DESC, g
 
 
 def _ranked(spark, sf_dir):
-    from pyspark.sql import Window
-
-    place = F.row_number().over(Window.partitionBy("game_date").orderBy(F.desc("confidence"), "game_id"))
-    return T.predictions(spark, sf_dir).withColumn("place", place)
+    return H.ranked_by_confidence(T.predictions(spark, sf_dir))
 
 
 @query("ranked_predictions", f"WITH {T.PREDICTIONS_SQL} SELECT game_date, {i8(_RANKED, 'place')}, {i8('game_id')}, {r6('confidence')}, tier FROM predictions")
@@ -209,7 +206,7 @@ def ranked_predictions(spark, sf_dir):
 @query("tier_picks", f"WITH {T.PREDICTIONS_SQL} SELECT game_date, {i8(_RANKED, 'place')}, {i8('game_id')}, tier FROM predictions WHERE confidence >= 0.3")
 def tier_picks(spark, sf_dir):
     # The best rows of a day come first, so places are unchanged by the filter.
-    return tidy(_ranked(spark, sf_dir).filter("confidence >= 0.3"), "game_date", "place", "game_id", "tier")
+    return tidy(H.tier_picks(_ranked(spark, sf_dir)), "game_date", "place", "game_id", "tier")
 
 
 # --- streaks ---------------------------------------------------------------

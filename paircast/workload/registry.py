@@ -33,9 +33,10 @@ def tidy(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
         column = F.col(field.name)
         kind = field.dataType.typeName()
         if kind in ("double", "float") or kind.startswith("decimal"):
-            # The nudge settles ties the same way in every engine; adding 0.0
-            # turns a rounded -0.0 into 0.0.
-            column = F.round(column.cast("double") + F.lit(1e-10), digits) + F.lit(0.0)
+            # Plain arithmetic gives every engine the same digits; the nudge
+            # above one half settles ties upwards.
+            scale = float(10**digits)
+            column = F.floor(column.cast("double") * scale + 0.5001) / scale
         elif kind in ("integer", "short", "byte"):
             column = column.cast("long")
         out.append(column.alias(field.name))
@@ -44,7 +45,7 @@ def tidy(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
 
 def r6(expr: str, name: str | None = None) -> str:
     """SQL twin of `tidy` for one double."""
-    return f"round(CAST({expr} AS DOUBLE) + CAST(1e-10 AS DOUBLE), 6) + 0.0 AS {name or expr}"
+    return f"floor(CAST({expr} AS DOUBLE) * CAST(1000000 AS DOUBLE) + CAST(0.5001 AS DOUBLE)) / CAST(1000000 AS DOUBLE) AS {name or expr}"
 
 
 def i8(expr: str, name: str | None = None) -> str:

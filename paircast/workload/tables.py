@@ -27,7 +27,7 @@ def conference(team: str = "team_id") -> Column:
 def _side_sums(status: str) -> Column:
     here = F.col("l_linestatus") == status
     total = lambda c: F.sum(F.when(here, F.col(c).cast("long")))
-    cents = lambda c: F.sum(F.when(here, F.round(100 * F.col(c)).cast("long")))
+    cents = lambda c: F.sum(F.when(here, F.floor(100 * F.col(c) + 0.5)))
     return F.struct(
         F.count_if(here).alias("n"),
         total("l_quantity").alias("q"),
@@ -109,8 +109,9 @@ def game_log(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when(margin.isNotNull(), F.when(won, "W").otherwise("L")).alias("wl"),
         ),
     )
-    rows = F.array_compact(F.array(row("home", diff, diff >= 0), row("away", -diff, diff < 0)))
-    return sides.select("game_id", "game_date", "season", F.explode(rows).alias("_r")).select(
+    rows = F.array(row("home", diff, diff >= 0), row("away", -diff, diff < 0))
+    both = sides.select("game_id", "game_date", "season", F.explode(rows).alias("_r")).filter("_r is not null")
+    return both.select(
         "game_id", "game_date", "season", "_r.box.*", "_r.plus_minus", "_r.wl"
     )
 
