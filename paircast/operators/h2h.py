@@ -2,137 +2,122 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from paircast.constants import H2H_DEFAULTS
 
 MEETINGS = 10
 
 
-def _pair_days(contests: DataFrame, meetings: int) -> DataFrame:
-    """Per unordered pair and day: that day's newest meetings, at most `meetings`.
-
-    One table serves both directions. The rank filter trims each pair and day
-    before the shuffle, so no pair's history is ever collected.
-    """
-    low, high = F.least("home_team_id", "away_team_id"), F.greatest("home_team_id", "away_team_id")
+def _pairs(contests: DataFrame) -> DataFrame:
+    """Contests keyed by the unordered pair, with each member's view of them."""
     home_low = F.col("home_team_id") < F.col("away_team_id")
     pick = lambda a, b: F.when(home_low, F.col(a)).otherwise(F.col(b))
-    rows = contests.select(
-        low.alias("low_id"),
-        high.alias("high_id"),
+    won = lambda a, b: F.coalesce(pick(a, b) == "W", F.lit(False)).cast("int")
+    return contests.select(
+        F.least("home_team_id", "away_team_id").alias("low_id"),
+        F.greatest("home_team_id", "away_team_id").alias("high_id"),
         "game_date",
         "game_id",
-        (pick("home_wl", "away_wl") == "W").cast("int").alias("low_won"),
-        (pick("away_wl", "home_wl") == "W").cast("int").alias("high_won"),
+        won("home_wl", "away_wl").alias("low_won"),
+        won("away_wl", "home_wl").alias("high_won"),
         pick("home_plus_minus", "away_plus_minus").alias("low_diff"),
         pick("away_plus_minus", "home_plus_minus").alias("high_diff"),
     )
+
+
+def _record(wins: Column, met: Column, diff: Column) -> Column:
+    """Win rate, meetings and mean difference; neutral values when they never met."""
+    return F.struct(
+        F.when(met > 0, wins / F.when(met > 0, met)).otherwise(0.5).alias("h2h_win_rate"),
+        met.cast("int").alias("h2h_games"),
+        F.when(met == 0, F.lit(0.0)).otherwise(diff).alias("h2h_pts_diff"),
+    )
+
+
+def pairs_asof(contests: DataFrame, meetings: int = MEETINGS) -> DataFrame:
+    """Both records of a pair over its last meetings strictly before a day.
+
+    One row per unordered pair and day on which the pair meets. Only the newest
+    meetings of a day are kept, and the rank filter trims them before the
+    shuffle; each day adds at least one, so the newest ten lie within the ten
+    previous days and no pair's history is ever collected.
+    """
     newest = Window.partitionBy("low_id", "high_id", "game_date").orderBy(F.desc("game_id"))
-    return (
-        rows.withColumn("_rank", F.row_number().over(newest))
+    days = (
+        _pairs(contests)
+        .withColumn("_rank", F.row_number().over(newest))
         .filter(F.col("_rank") <= meetings)
         .groupBy("low_id", "high_id", "game_date")
-        .agg(F.collect_list(F.struct("_rank", "low_won", "high_won", "low_diff", "high_diff")).alias("_day"))
+        .agg(F.array_sort(F.collect_list(F.struct("_rank", "low_won", "high_won", "low_diff", "high_diff"))).alias("_day"))
+    )
+    back = Window.partitionBy("low_id", "high_id").orderBy("game_date").rowsBetween(-meetings, -1)
+    recent = F.slice(F.flatten(F.reverse(F.collect_list("_day").over(back))), 1, meetings)
+    met = F.size("_past")
+    wins = lambda side: F.aggregate("_past", F.lit(0), lambda acc, m: acc + m[f"{side}_won"])
+    diffs = lambda side: F.filter(F.transform("_past", lambda m: m[f"{side}_diff"]), lambda v: v.isNotNull())
+    return days.withColumn("_past", recent).select(
+        "low_id",
+        "high_id",
+        "game_date",
+        *[_record(wins(side), met, _mean(diffs(side))).alias(side) for side in ("low", "high")],
     )
 
 
-def h2h_asof(contests: DataFrame, meetings: int = MEETINGS) -> DataFrame:
-    """Record of (team, opponent) over its last meetings strictly before a day.
+def pairs_latest(contests: DataFrame, meetings: int = MEETINGS) -> DataFrame:
+    """Both records of a pair over its last meetings in the whole log.
 
-    One row per direction, pair and day on which the pair meets. Each day adds
-    at least one meeting, so the newest ten lie within the ten previous days.
+    A missing difference counts as no difference here.
     """
-    back = Window.partitionBy("low_id", "high_id").orderBy("game_date").rowsBetween(-meetings, -1)
-    days = _pair_days(contests, meetings).withColumn(
-        "_past",
-        F.slice(
-            F.flatten(F.transform(F.reverse(F.collect_list("_day").over(back)), lambda day: F.array_sort(day))),
-            1,
-            meetings,
-        ),
-    )
-    sides = F.array(
-        *[
-            F.struct(
-                F.col(mine).alias("team_id"),
-                F.col(other).alias("opp_id"),
-                F.aggregate("_past", F.lit(0), lambda acc, m: acc + m[won]).alias("_wins"),
-                F.filter(F.transform("_past", lambda m: m[diff]), lambda v: v.isNotNull()).alias("_diffs"),
-            )
-            for mine, other, won, diff in (
-                ("low_id", "high_id", "low_won", "low_diff"),
-                ("high_id", "low_id", "high_won", "high_diff"),
-            )
-        ]
-    )
-    met = F.size("_past")
+    newest = Window.partitionBy("low_id", "high_id").orderBy(F.desc("game_date"), F.desc("game_id"))
+    met = F.count(F.lit(1))
+    diff = lambda side: F.coalesce(F.avg(f"{side}_diff"), F.lit(0.0))
     return (
-        days.select("game_date", "_past", F.explode(sides).alias("_side"))
-        .select(
-            "_side.team_id",
-            "_side.opp_id",
-            "game_date",
-            F.when(met > 0, F.col("_side._wins") / F.when(met > 0, met)).otherwise(0.5).alias("h2h_win_rate"),
-            met.alias("h2h_games"),
-            # No meeting yet is a difference of 0; meetings without any
-            # difference leave it missing.
-            F.when(met == 0, F.lit(0.0)).otherwise(_mean(F.col("_side._diffs"))).alias("h2h_pts_diff"),
-        )
+        _pairs(contests)
+        .withColumn("_rank", F.row_number().over(newest))
+        .filter(F.col("_rank") <= meetings)
+        .groupBy("low_id", "high_id")
+        .agg(*[_record(F.sum(f"{side}_won"), met, diff(side)).alias(side) for side in ("low", "high")])
     )
 
 
-def _mean(values):
+def _mean(values: Column) -> Column:
     total = F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v.cast("double"))
     return F.when(F.size(values) > 0, total / F.when(F.size(values) > 0, F.size(values)))
 
 
-def h2h_latest(contests: DataFrame, meetings: int = MEETINGS) -> DataFrame:
-    """Record of (team, opponent) over its last meetings in the whole log."""
-    both = contests.select(
-        "game_date",
-        "game_id",
-        F.explode(
-            F.array(
-                F.struct(
-                    F.col("home_team_id").alias("team_id"),
-                    F.col("away_team_id").alias("opp_id"),
-                    F.col("home_wl").alias("wl"),
-                    F.col("home_plus_minus").alias("diff"),
-                ),
-                F.struct(
-                    F.col("away_team_id").alias("team_id"),
-                    F.col("home_team_id").alias("opp_id"),
-                    F.col("away_wl").alias("wl"),
-                    F.col("away_plus_minus").alias("diff"),
-                ),
-            )
-        ).alias("_side"),
-    ).select("game_date", "game_id", "_side.*")
-    newest = Window.partitionBy("team_id", "opp_id").orderBy(F.desc("game_date"), F.desc("game_id"))
-    return (
-        both.withColumn("_rank", F.row_number().over(newest))
-        .filter(F.col("_rank") <= meetings)
-        .groupBy("team_id", "opp_id")
-        .agg(
-            F.avg((F.col("wl") == "W").cast("int")).alias("h2h_win_rate"),
-            F.count(F.lit(1)).alias("h2h_games"),
-            F.coalesce(F.avg("diff"), F.lit(0.0)).alias("h2h_pts_diff"),
-        )
+def _by_direction(pairs: DataFrame) -> DataFrame:
+    """One row per (team, opponent) instead of one per unordered pair."""
+    view = lambda mine, other, side: F.struct(
+        F.col(mine).alias("team_id"), F.col(other).alias("opp_id"), F.col(side).alias("record")
     )
+    sides = F.array(view("low_id", "high_id", "low"), view("high_id", "low_id", "high"))
+    rest = [c for c in pairs.columns if c not in ("low_id", "high_id", "low", "high")]
+    return pairs.select(*rest, F.explode(sides).alias("_side")).select("_side.team_id", "_side.opp_id", *rest, "_side.record.*")
 
 
-def with_h2h(contests: DataFrame, records: DataFrame, on_date: bool) -> DataFrame:
-    """Attach both directions of the record to each contest."""
-    out = contests
-    for side, other in (("home", "away"), ("away", "home")):
-        keys = {"team_id": f"{side}_team_id", "opp_id": f"{other}_team_id"}
-        table = records.withColumnsRenamed({**keys, **{c: f"{side}_{c}" for c in H2H_DEFAULTS}})
-        on = [*keys.values(), "game_date"] if on_date else list(keys.values())
-        filled = [
-            F.when(F.col("_met"), F.col(f"{side}_{c}")).otherwise(F.lit(default)).alias(f"{side}_{c}")
-            for c, default in H2H_DEFAULTS.items()
-        ]
-        kept = out.columns
-        out = out.join(table.withColumn("_met", F.lit(True)), on, "left").select(*kept, *filled)
-    return out
+def h2h_asof(contests: DataFrame, meetings: int = MEETINGS) -> DataFrame:
+    return _by_direction(pairs_asof(contests, meetings))
+
+
+def h2h_latest(contests: DataFrame, meetings: int = MEETINGS) -> DataFrame:
+    return _by_direction(pairs_latest(contests, meetings))
+
+
+def with_h2h(contests: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Attach both directions of the record to each contest, in one join.
+
+    `pairs` comes from `pairs_asof` (joined by day too) or `pairs_latest`.
+    """
+    on = ["low_id", "high_id"] + (["game_date"] if "game_date" in pairs.columns else [])
+    keyed = contests.withColumns(
+        {"low_id": F.least("home_team_id", "away_team_id"), "high_id": F.greatest("home_team_id", "away_team_id")}
+    )
+    home_low = F.col("home_team_id") < F.col("away_team_id")
+    filled = []
+    for side, first, second in (("home", "low", "high"), ("away", "high", "low")):
+        record = F.when(home_low, F.col(first)).otherwise(F.col(second))
+        for name, default in H2H_DEFAULTS.items():
+            value = F.when(F.col("low").isNull(), F.lit(default)).otherwise(record[name])
+            filled.append(value.alias(f"{side}_{name}"))
+    return keyed.join(pairs, on, "left").select(*contests.columns, *filled)

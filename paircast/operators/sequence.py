@@ -38,28 +38,32 @@ def _sliced(df: DataFrame, chunk: str, order: list, slices: int | None) -> tuple
     return df.withColumn("_slice", F.floor(share * count)), [chunk, "_slice"]
 
 
-def _carried(df: DataFrame, keys: list[str], chunks: list[str], amount: Column, name: str) -> DataFrame:
-    """Sum of `amount` over the key's earlier chunks; one row per key and chunk.
+def _carried(df: DataFrame, keys: list[str], chunks: list[str], amounts: dict[str, Column]) -> DataFrame:
+    """Sums over the key's earlier chunks; one row per key and chunk.
 
     With slices the carry is taken in two steps (days, then ranges of a day),
     so that no ordered window grows beyond the calendar or the slice count.
     """
-    sums = df.groupBy(*keys, *chunks).agg(amount.alias("_amount"))
-    before = lambda by, order: Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    earlier = lambda c, by, order: F.coalesce(F.sum(c).over(before(by, order)), F.lit(0))
+    sums = df.groupBy(*keys, *chunks).agg(*[amount.alias(name) for name, amount in amounts.items()])
+
+    def earlier(name: str, by: list[str], order: str) -> Column:
+        past = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum(name).over(past), F.lit(0))
+
     if len(chunks) == 1:
-        return sums.select(*keys, *chunks, earlier("_amount", keys, chunks[0]).alias(name))
-    coarse = sums.groupBy(*keys, chunks[0]).agg(F.sum("_amount").alias("_amount"))
-    coarse = coarse.select(*keys, chunks[0], earlier("_amount", keys, chunks[0]).alias("_coarse"))
-    fine = sums.select(*keys, *chunks, earlier("_amount", [*keys, chunks[0]], chunks[1]).alias("_fine"))
-    return fine.join(coarse, [*keys, chunks[0]]).select(*keys, *chunks, (F.col("_fine") + F.col("_coarse")).alias(name))
+        return sums.select(*keys, *chunks, *[earlier(n, keys, chunks[0]).alias(n) for n in amounts])
+    coarse = sums.groupBy(*keys, chunks[0]).agg(*[F.sum(n).alias(n) for n in amounts])
+    coarse = coarse.select(*keys, chunks[0], *[earlier(n, keys, chunks[0]).alias(f"{n}_coarse") for n in amounts])
+    fine = sums.select(*keys, *chunks, *[earlier(n, [*keys, chunks[0]], chunks[1]).alias(n) for n in amounts])
+    totals = [(F.col(n) + F.col(f"{n}_coarse")).alias(n) for n in amounts]
+    return fine.join(coarse, [*keys, chunks[0]]).select(*keys, *chunks, *totals)
 
 
 def with_sequence(df: DataFrame, keys: list[str], chunk: str, order: list, name: str = "seq", slices: int | None = None) -> DataFrame:
     """Row number per key in (chunk, order), computed chunk by chunk."""
     rows, chunks = _sliced(df, chunk, order, slices)
     inside = Window.partitionBy(*keys, *chunks).orderBy(*order)
-    offsets = _carried(rows, keys, chunks, F.count(F.lit(1)), "_offset")
+    offsets = _carried(rows, keys, chunks, {"_offset": F.count(F.lit(1))})
     return (
         rows.withColumn("_local", F.row_number().over(inside))
         .join(offsets, [*keys, *chunks])
@@ -91,18 +95,15 @@ def own_rows(df: DataFrame) -> DataFrame:
     return df.filter("_own").drop("_block", "_own", "_pos")
 
 
-def with_running_count(df: DataFrame, keys: list[str], chunk: str, order: list, test: Column, name: str, slices: int | None = None) -> DataFrame:
-    """Rows up to and including this one that pass `test`, per key."""
+def with_running_counts(df: DataFrame, keys: list[str], chunk: str, order: list, tests: dict[str, Column], slices: int | None = None) -> DataFrame:
+    """Per key and test: rows up to and including this one that pass it."""
     rows, chunks = _sliced(df, chunk, order, slices)
     inside = Window.partitionBy(*keys, *chunks).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    hit = F.when(test, 1).otherwise(0)
-    carry = _carried(rows, keys, chunks, F.sum(hit), "_carry")
-    return (
-        rows.withColumn("_inside", F.sum(hit).over(inside))
-        .join(carry, [*keys, *chunks])
-        .withColumn(name, F.col("_inside") + F.col("_carry"))
-        .drop("_inside", "_carry", "_slice")
-    )
+    hits = {name: F.when(test, 1).otherwise(0) for name, test in tests.items()}
+    carry = _carried(rows, keys, chunks, {f"_before_{n}": F.sum(hit) for n, hit in hits.items()})
+    counted = rows.withColumns({n: F.sum(hit).over(inside) for n, hit in hits.items()}).join(carry, [*keys, *chunks])
+    totals = {n: F.col(n) + F.col(f"_before_{n}") for n in tests}
+    return counted.withColumns(totals).drop("_slice", *[f"_before_{n}" for n in tests])
 
 
 def exact_median(df: DataFrame, value: str, chunk: Column, name: str = "median") -> DataFrame:

@@ -106,6 +106,16 @@ def standings_at_date(log: DataFrame, day: str, conference: Column) -> DataFrame
     return _with_ranks(records, [])
 
 
+def with_own_standings(rows: DataFrame, standings: DataFrame) -> DataFrame:
+    """Standings of each row's own entity and day, defaults where there are none.
+
+    On the long log this is one join for both sides of a contest.
+    """
+    table = standings.select("game_date", "team_id", *[F.col(c).alias(f"_{c}") for c in STANDINGS_DEFAULTS])
+    filled = [F.coalesce(f"_{c}", F.lit(value)).alias(c) for c, value in STANDINGS_DEFAULTS.items()]
+    return rows.join(table, ["game_date", "team_id"], "left").select(*rows.columns, *filled)
+
+
 def with_standings(contests: DataFrame, standings: DataFrame) -> DataFrame:
     """Home and away standings of each contest, defaults where there are none."""
     out = contests

@@ -31,7 +31,7 @@ from paircast.functions.prediction import (
     strong_favorite,
 )
 from paircast.operators.history import completed, is_completed, pending
-from paircast.operators.sequence import with_running_count, with_sequence
+from paircast.operators.sequence import with_running_counts, with_sequence
 
 
 def _n() -> Column:
@@ -254,8 +254,8 @@ def longest_streaks(history: DataFrame, order: list[str]) -> DataFrame:
     is one group of a partially aggregated count, however long it is.
     """
     rows = completed(history).select("date", *order, "correct")
-    counted = with_running_count(rows, [], "date", order, F.col("correct") == 1, "_hits")
-    counted = with_running_count(counted, [], "date", order, F.col("correct") == 0, "_misses")
+    tests = {"_hits": F.col("correct") == 1, "_misses": F.col("correct") == 0}
+    counted = with_running_counts(rows, [], "date", order, tests)
     opposite = F.when(F.col("correct") == 1, F.col("_misses")).otherwise(F.col("_hits"))
     runs = counted.groupBy("correct", opposite.alias("_run")).agg(_n().alias("length"))
     longest = lambda value: F.coalesce(F.max(F.when(F.col("correct") == value, F.col("length"))), F.lit(0))

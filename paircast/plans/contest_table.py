@@ -15,8 +15,8 @@ from paircast.operators.games import (
     valid_contests,
     with_side_flags,
 )
-from paircast.operators.h2h import h2h_asof, with_h2h
-from paircast.operators.standings import standings_asof, with_standings
+from paircast.operators.h2h import pairs_asof, with_h2h
+from paircast.operators.standings import standings_asof, with_own_standings, with_standings_diff
 
 
 def side_features() -> list[str]:
@@ -39,9 +39,9 @@ def enriched_log(log: DataFrame, window: int = 20) -> DataFrame:
     return form_features(advanced_metrics(four_factors(log)), window=window)
 
 
-def matched_sides(features: DataFrame) -> DataFrame:
+def matched_sides(features: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     """Home and away form of each valid contest, prefixed, with the label."""
-    columns = [c for c in side_features() if c in features.columns]
+    columns = [c for c in side_features() if c in features.columns] + list(extra)
     rows = with_side_flags(ready_rows(features))
     sides = pair_sides(rows, ["game_id", "game_date", "team_id", "wl", *columns])
     prefixed = [
@@ -62,8 +62,8 @@ def contest_table(log: DataFrame, conference: Column, window: int = 20, cohort:
 
     Rows with any missing feature are dropped.
     """
-    contests = matched_sides(form_features(advanced_metrics(four_factors(log)), window=window, ewm=False))
-    records = h2h_asof(valid_contests(log))
+    features = form_features(advanced_metrics(four_factors(log)), window=window, ewm=False)
     table = standings_asof(log, conference, cohort)
-    joined = with_standings(with_h2h(contests, records, on_date=True), table)
+    contests = with_standings_diff(matched_sides(with_own_standings(ready_rows(features), table), tuple(STANDINGS_DEFAULTS)))
+    joined = with_h2h(contests, pairs_asof(valid_contests(log)))
     return joined.select(*contest_columns()).filter(all_present(contest_columns()))

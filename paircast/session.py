@@ -45,6 +45,17 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Write a frame as a table in the shared folder and read it back.
+
+    For a frame that one plan reads several times: each reader then scans only
+    the columns it needs instead of deriving all of them again.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise to the shared folder so that lost executors cost no replay."""
     spark = df.sparkSession

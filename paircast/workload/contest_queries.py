@@ -202,7 +202,7 @@ contest_table AS (SELECT {_META_SQL}, {', '.join(_num(f'{s}_{c}', f'{s}_{c}') fo
 
 
 def wide_table(spark, sf_dir):
-    return contest_table(T.game_log(spark, sf_dir), T.conference())
+    return contest_table(T.stored_log(spark, sf_dir), T.conference())
 
 
 @query("contest_table", f"WITH {TABLE_SQL} SELECT * FROM contest_table")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from paircast.functions.boxscore import season_label
 from paircast.functions.prediction import array_mean, array_spread, confidence, confidence_tier
+from paircast.session import stored
 
 TEAMS = 30
 
@@ -116,6 +117,11 @@ def game_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stored_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log as a table, for plans that read it several times."""
+    return stored(game_log(spark, sf_dir), "game-log")
+
+
 def teams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The team dimension: nations; contest ids beyond it are exhibition teams."""
     nation = table(spark, sf_dir, "nation")

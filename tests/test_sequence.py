@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Window, functions as F
 
 from paircast.operators import form
-from paircast.operators.sequence import exact_median, own_rows, with_halo_blocks, with_running_count, with_sequence
+from paircast.operators.sequence import exact_median, own_rows, with_halo_blocks, with_running_counts, with_sequence
 
 
 @pytest.fixture(scope="module")
@@ -31,7 +31,7 @@ def test_sequence_equals_row_number(skewed, keys, slices):
 
 @pytest.mark.parametrize("slices", [1, 4])
 def test_running_count_equals_window_sum(skewed, slices):
-    split = with_running_count(skewed, ["key"], "day", ["game"], F.col("value") > 50, "hits", slices=slices)
+    split = with_running_counts(skewed, ["key"], "day", ["game"], {"hits": F.col("value") > 50}, slices=slices)
     plain = Window.partitionBy("key").orderBy("day", "game").rowsBetween(Window.unboundedPreceding, 0)
     wrong = split.withColumn("plain", F.sum((F.col("value") > 50).cast("int")).over(plain)).filter("hits <> plain")
     assert wrong.count() == 0
