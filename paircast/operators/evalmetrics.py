@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window, functions as F
 
 from paircast.functions.prediction import predicted_label
@@ -122,7 +120,3 @@ def with_class_weights(rows: DataFrame, label: str = "label", name: str = "class
         label, (F.sum("_n").over(everything) / (F.count(F.lit(1)).over(everything) * F.col("_n"))).alias(name)
     )
     return rows.join(F.broadcast(weights), label)
-
-
-def mean_of(columns: list[str]):
-    return reduce(lambda a, b: a + b, [F.col(c) for c in columns]) / len(columns)

@@ -30,7 +30,7 @@ from paircast.functions.prediction import (
     roi_percent,
     strong_favorite,
 )
-from paircast.operators.history import completed, is_completed, pending
+from paircast.operators.history import completed, is_completed
 from paircast.operators.sequence import with_running_counts, with_sequence
 
 
@@ -327,7 +327,3 @@ def stats_payload(history: DataFrame, now: str) -> DataFrame:
             F.struct("has_data", "overall", *blocks, "filter_rows", F.get("filter_rows", F.lit(0)).alias("best_filter"))
         ).alias("payload")
     )
-
-
-def pending_count(history: DataFrame) -> DataFrame:
-    return pending(history).agg(F.count(F.lit(1)).alias("pending"))

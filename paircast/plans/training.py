@@ -6,7 +6,7 @@ import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.ml import Estimator, Pipeline, PipelineModel
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier,
     LogisticRegression,
@@ -310,12 +310,3 @@ def load_ensemble(spark: SparkSession, path: str) -> Ensemble:
     }
     weights = summary["weights"] if whole else None
     return Ensemble(names, models, summary["features"], weights=weights, threshold=summary["threshold"], **extra)
-
-
-def estimator_stage(estimator: Estimator) -> Fit:
-    """Wrap any Spark ML classifier for `register_trainer`."""
-
-    def fit(train: DataFrame, width: int, seed: int, params: dict) -> list:
-        return [estimator.copy().setParams(featuresCol=SCALED, labelCol=LABEL).fit(train)]
-
-    return fit

@@ -107,10 +107,9 @@ def odds_match_rate(spark, sf_dir):
 # second word after an article, or name somebody else.
 _NAME = "'C' || CAST({t} % 7 AS VARCHAR) || ' Team' || CAST({t} AS VARCHAR)"
 _SHORT = "'The Team' || CAST({t} AS VARCHAR)"
-_name = lambda t: T_concat("C", F.col(t) % 7, " Team", F.col(t))
 
 
-def T_concat(*parts):
+def joined_text(*parts):
     return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
 
@@ -138,12 +137,12 @@ shared AS (
 def odds_fuzzy_match(spark, sf_dir):
     contests = T.scored_contests(spark, sf_dir).select("game_id", "game_date", "home_team_id", "away_team_id")
     games = contests.select(
-        "game_id", "game_date", T_concat("C", F.col("home_team_id") % 7, " Team", F.col("home_team_id")).alias("home_team"),
-        T_concat("C", F.col("away_team_id") % 7, " Team", F.col("away_team_id")).alias("away_team"), "home_team_id", "away_team_id",
+        "game_id", "game_date", joined_text("C", F.col("home_team_id") % 7, " Team", F.col("home_team_id")).alias("home_team"),
+        joined_text("C", F.col("away_team_id") % 7, " Team", F.col("away_team_id")).alias("away_team"), "home_team_id", "away_team_id",
     )
     kind = F.col("game_id") % 3
     shown = lambda name, key: F.lower(
-        F.when(kind == 0, F.col(name)).when(kind == 1, T_concat("The Team", F.col(key))).otherwise("Nobody")
+        F.when(kind == 0, F.col(name)).when(kind == 1, joined_text("The Team", F.col(key))).otherwise("Nobody")
     )
     key = F.concat(shown("home_team", "home_team_id"), F.lit("_vs_"), shown("away_team", "away_team_id"))
     odds = games.select("game_date", F.col("game_id").alias("ordinal"), key.alias("game_key"))
