@@ -4,14 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from paircast.llm import decontaminate, licenses
+from paircast.llm import decontaminate, licenses, token_files
 from paircast.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+#: The end of a document in the files of op 6.
+END_ID = 2
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = token_files.write_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), END_ID, token_files.token_folder(spark))
+    return token_files.read_tokens(manifest)
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -21,5 +31,5 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(read(spark, sf_dir, "documents")).drop("matches")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op9_decontaminate, op10_license_scan)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op6_token_files, op9_decontaminate, op10_license_scan)}
 ORACLES: dict[str, str] = {}
