@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from paircast.llm import decontaminate, licenses, token_files
+from paircast.llm import decontaminate, licenses, packing, token_files
 from paircast.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 END_ID = 2
 
 
+def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = token_files.write_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), END_ID, token_files.token_folder(spark))
     return token_files.read_tokens(manifest)
@@ -31,5 +35,5 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(read(spark, sf_dir, "documents")).drop("matches")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op6_token_files, op9_decontaminate, op10_license_scan)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_pack, op6_token_files, op9_decontaminate, op10_license_scan)}
 ORACLES: dict[str, str] = {}
