@@ -5,14 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from paircast.llm import decontaminate, licenses, packing, token_files
-from paircast.llm.common import read
+from paircast.llm import decontaminate, language, licenses, packing, quality, token_files, toxicity
+from paircast.llm.common import held_out, read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    judged = language.identify(docs, docs.where(~held_out(5, 0)))
+    return judged.select("doc_id", held_out(5, 0).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 #: The end of a document in the files of op 6.
 END_ID = 2
 
@@ -26,6 +32,20 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_tokens(manifest)
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    machine = quality.fit(docs, read(spark, sf_dir, "labels").where(~held_out(5, 0)))
+    scored = quality.scores(docs, machine)
+    return scored.select("doc_id", held_out(5, 0).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    scorer = toxicity.fit(docs, read(spark, sf_dir, "labels").where(~held_out(3, 1)))
+    scored = toxicity.scores(docs, scorer)
+    return scored.select("doc_id", held_out(3, 1).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -35,5 +55,5 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(read(spark, sf_dir, "documents")).drop("matches")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_pack, op6_token_files, op9_decontaminate, op10_license_scan)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_pack, op5_language, op6_token_files, op7_quality, op8_toxicity, op9_decontaminate, op10_license_scan)}
 ORACLES: dict[str, str] = {}
