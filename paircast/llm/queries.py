@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from paircast.llm import decontaminate, language, licenses, packing, quality, token_files, toxicity
+from paircast.llm import decontaminate, fingerprints, language, licenses, packing, quality, token_files, toxicity
 from paircast.llm.common import held_out, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,10 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 END_ID = 2
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_with_edits(read(spark, sf_dir, "documents"))
+
+
 def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -55,5 +59,5 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(read(spark, sf_dir, "documents")).drop("matches")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_pack, op5_language, op6_token_files, op7_quality, op8_toxicity, op9_decontaminate, op10_license_scan)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_fingerprints, op2_pack, op5_language, op6_token_files, op7_quality, op8_toxicity, op9_decontaminate, op10_license_scan)}
 ORACLES: dict[str, str] = {}
