@@ -7,12 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from paircast.llm import decontaminate, fingerprints, language, licenses, packing, quality, suffix_dedup, token_files, toxicity
+from paircast.llm import decontaminate, fingerprints, language, licenses, ngram_join, packing, quality, suffix_dedup, token_files, toxicity
 from paircast.llm.common import held_out, read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeated_spans(read(spark, sf_dir, "documents")).drop("spans")
 
@@ -63,5 +67,5 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(read(spark, sf_dir, "documents")).drop("matches")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_fingerprints, op2_pack, op4_suffix_dedup, op5_language, op6_token_files, op7_quality, op8_toxicity, op9_decontaminate, op10_license_scan)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_fingerprints, op2_pack, op3_ngram_join, op4_suffix_dedup, op5_language, op6_token_files, op7_quality, op8_toxicity, op9_decontaminate, op10_license_scan)}
 ORACLES: dict[str, str] = {}
