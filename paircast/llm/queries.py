@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -67,5 +68,11 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(read(spark, sf_dir, "documents")).drop("matches")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_fingerprints, op2_pack, op3_ngram_join, op4_suffix_dedup, op5_language, op6_token_files, op7_quality, op8_toxicity, op9_decontaminate, op10_license_scan)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_fingerprints, op2_pack, op3_ngram_join, op4_suffix_dedup, op5_language, op6_token_files, op7_quality, op8_toxicity, op9_decontaminate, op10_license_scan, pipeline)}
 ORACLES: dict[str, str] = {}
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
