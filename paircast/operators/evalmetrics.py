@@ -119,4 +119,4 @@ def with_class_weights(rows: DataFrame, label: str = "label", name: str = "class
     weights = counts.select(
         label, (F.sum("_n").over(everything) / (F.count(F.lit(1)).over(everything) * F.col("_n"))).alias(name)
     )
-    return rows.join(F.broadcast(weights), label)
+    return rows.join(weights, label)

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from paircast.constants import FORM_COLUMNS, ROLLED_STATS
 from paircast.functions.boxscore import home_flag, win_flag
-from paircast.operators.sequence import own_rows, with_halo_blocks, with_sequence
+from paircast.operators.sequence import BLOCK_ROWS, own_rows, with_halo_blocks, with_sequence
 
-# Weights of the exponential mean fall to (9/11)^256 < 1e-22 inside the halo.
-EWM_HALO = 256
 EWM_MIN = 5
+EWM_SPAN = 10
 ROLL_MIN = 5
 
 
@@ -33,63 +32,118 @@ def form_features(
     entity with a third of all rows is spread over many tasks.
     """
     stats = tuple(s for s in stats if s in log.columns)
-    halo = max(EWM_HALO if ewm else 0, window + 1, 11)
+    halo = max(window + 1, 11)
     rows = with_halo_blocks(_sequenced(log, entity), halo)
     order = Window.partitionBy(entity, "_block").orderBy("seq")
     columns = {}
     if rolling:
-        rows, rolled = _rolling_columns(rows, order, stats, window)
-        columns.update(rolled)
+        columns.update(_rolling_columns(log, order, stats, window))
     if ewm:
-        columns.update(_ewm_columns(order, stats))
+        # Powers of the growth fit a double over BLOCK_ROWS rows, so longer blocks are parted.
+        part = F.floor((F.col("_pos") - 1) / BLOCK_ROWS)
+        rows = rows.withColumn("_part", part).withColumn("_at", F.col("_pos") - F.col("_part") * BLOCK_ROWS)
+        rows = rows.join(_ewm_carry(rows, entity, stats), [entity, "_block", "_part"], "left")
+        parted = 2 * halo > BLOCK_ROWS
+        columns.update(_ewm_columns(Window.partitionBy(entity, "_block", "_part").orderBy("seq") if parted else order, stats))
     if momentum:
         rows, extra = _momentum_columns(rows, order)
         columns.update(extra)
-    out = own_rows(rows.withColumns(columns)).drop(*[f"_base_{s}" for s in stats])
+    out = own_rows(rows.withColumns(columns)).drop("_part", "_at", *[f"_ewm_{s}" for s in stats])
     if momentum:
         out = out.withColumns(_rest_columns()).drop("_won", "_gap", "_dense")
     return out.drop("seq")
 
 
-def _rolling_columns(rows: DataFrame, order, stats, window: int) -> tuple[DataFrame, dict]:
+def _known(df: DataFrame, stat: str) -> Column:
+    """A statistic as a number; NaN is missing, as null is."""
+    kind = df.schema[stat].dataType.typeName()
+    return F.nanvl(F.col(stat), F.lit(None).cast(kind)) if kind in ("double", "float") else F.col(stat)
+
+
+def _rolling_columns(log: DataFrame, order, stats, window: int) -> dict:
     """Mean and sample deviation of the previous `window` rows.
 
-    A sliding frame would add up all its rows again for every row. Two running
-    sums, one ending before this row and one ending before the frame, cost one
-    addition each; their difference is the frame. Values are taken relative to
-    the block's first one, so little is lost in the subtraction.
+    Every frame is added up by itself, so what lies before it leaves no trace:
+    a constant frame after a jump has a deviation of exactly 0.
     """
-    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumns({f"_base_{s}": F.first(s, ignorenulls=True).over(so_far).cast("double") for s in stats})
-    past = order.rowsBetween(Window.unboundedPreceding, -1)
-    older = order.rowsBetween(Window.unboundedPreceding, -window - 1)
-    inside = lambda total: F.coalesce(total.over(past), F.lit(0)) - F.coalesce(total.over(older), F.lit(0))
+    frame = order.rowsBetween(-window, -1)
     columns = {}
     for stat in stats:
-        base = F.col(f"_base_{stat}")
-        off = F.col(stat) - base
-        n, total, squares = inside(F.count(stat)), inside(F.sum(off)), inside(F.sum(off * off))
-        count = F.when(n >= ROLL_MIN, n)
-        columns[f"{stat}_roll_mean"] = base + total / count
-        columns[f"{stat}_roll_std"] = F.sqrt(F.greatest(count * squares - total * total, F.lit(0.0)) / (count * (count - 1)))
-    return rows, columns
+        value = _known(log, stat)
+        enough = F.count(value).over(frame) >= ROLL_MIN
+        columns[f"{stat}_roll_mean"] = F.when(enough, F.avg(value).over(frame))
+        columns[f"{stat}_roll_std"] = F.when(enough, F.stddev_samp(value).over(frame))
+    return columns
+
+
+def _growth(place: Column, span: int = EWM_SPAN) -> Column:
+    return F.pow(F.lit((span + 1.0) / (span - 1.0)), place.cast("double"))
 
 
-def _ewm_columns(order, stats, span: int = 10) -> dict:
+def _ewm_carry(rows: DataFrame, entity: str, stats) -> DataFrame:
+    """What each block takes over from the rows before it, one row per entity and block.
+
+    Per statistic: values so far, and mean, weight and place (relative to the
+    block) of the last one. A block's own sums are relative to its last value,
+    so that a long gap loses nothing; of the blocks before, the last two with
+    values count, as older weights have fallen by a whole block in between (a
+    block of 200 rows is enough),
+    far below the precision of a double.
+    """
+    own = rows.filter("_own")
+    by_block = [entity, "_block", "_part"]
+    last = own.groupBy(*by_block).agg(F.max("_at").alias("_rows"), *[F.max(F.when(_known(rows, s).isNotNull(), F.col("_at"))).alias(f"_last_{s}") for s in stats])
+    joined = own.join(last, by_block)
+    sums = []
+    for s in stats:
+        value, weight = _known(rows, s), _growth(F.col("_at") - F.col(f"_last_{s}"))
+        sums += [F.count(value).alias(f"_n_{s}"), F.sum(value * weight).alias(f"_s_{s}"), F.sum(F.when(value.isNotNull(), weight)).alias(f"_w_{s}"), F.max(f"_last_{s}").alias(f"_last_{s}")]
+    blocks = joined.groupBy(*by_block).agg(F.max("_rows").alias("_rows"), *sums)
+    # One row per block from here on.
+    order = Window.partitionBy(entity).orderBy("_block", "_part")
+    past = order.rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_begin", F.coalesce(F.sum("_rows").over(past), F.lit(0)))
+    ends = {
+        f"_e_{s}": F.when(F.col(f"_n_{s}") > 0, F.struct((F.col("_begin") + F.col(f"_last_{s}")).alias("place"), (F.col(f"_s_{s}") / F.col(f"_w_{s}")).alias("mean"), F.col(f"_w_{s}").alias("weight")))
+        for s in stats
+    }
+    blocks = blocks.withColumns(ends)
+    blocks = blocks.withColumns({f"_b_{s}": F.last(f"_e_{s}", ignorenulls=True).over(past) for s in stats})
+    # The end of a block joined to the last one before it.
+    chained = {}
+    for s in stats:
+        e, before = F.col(f"_e_{s}"), F.col(f"_b_{s}")
+        kept = F.coalesce(before["weight"] * _growth(before["place"] - e["place"]), F.lit(0.0))
+        weight = e["weight"] + kept
+        mean = (e["mean"] * e["weight"] + F.coalesce(before["mean"], F.lit(0.0)) * kept) / weight
+        chained[f"_e_{s}"] = F.when(e.isNotNull(), F.struct(e["place"].alias("place"), mean.alias("mean"), weight.alias("weight")))
+    blocks = blocks.withColumns(chained)
+    taken = {}
+    for s in stats:
+        end = F.last(f"_e_{s}", ignorenulls=True).over(past)
+        taken[f"_ewm_{s}"] = F.struct(F.coalesce(F.sum(f"_n_{s}").over(past), F.lit(0)).alias("n"), end["mean"].alias("mean"), end["weight"].alias("weight"), (end["place"] - F.col("_begin")).alias("place"))
+    return blocks.select(*by_block, *[c.alias(n) for n, c in taken.items()])
+
+
+def _ewm_columns(order, stats) -> dict:
     """Exponential mean with adjusted weights, as a ratio of two running sums.
 
     Both sums carry the weight growth^position, so the common factor cancels;
-    positions restart in every block, which keeps the powers inside a double.
-    A missing value keeps its place in the weighting but enters neither sum.
+    positions restart in every block, which keeps the powers inside a double,
+    and each block goes on from what it takes over. A missing value keeps its
+    place in the weighting but enters neither sum.
     """
     past = order.rowsBetween(Window.unboundedPreceding, -1)
-    growth = F.pow(F.lit((span + 1.0) / (span - 1.0)), F.col("_pos").cast("double"))
+    growth = _growth(F.col("_at"))
     columns = {}
     for stat in stats:
-        value = F.col(stat)
-        weighted = F.sum(value * growth).over(past)
+        carry = F.col(f"_ewm_{stat}")
+        value = F.when(F.col("_own"), F.nanvl(F.col(stat).cast("double"), F.lit(None).cast("double")))
+        kept = F.coalesce(carry["weight"] * _growth(carry["place"]), F.lit(0.0))
         weights = F.sum(F.when(value.isNotNull(), growth)).over(past)
-        columns[f"{stat}_ewm"] = F.when(F.count(value).over(past) >= EWM_MIN, weighted / weights)
+        weighted = F.sum(value * growth).over(past)
+        mean = F.when(weights.isNull(), carry["mean"]).otherwise((weighted + F.coalesce(carry["mean"], F.lit(0.0)) * kept) / (weights + kept))
+        columns[f"{stat}_ewm"] = F.when(F.count(value).over(past) + F.coalesce(carry["n"], F.lit(0)) >= EWM_MIN, mean)
     return columns
 
 

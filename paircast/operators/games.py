@@ -179,7 +179,7 @@ def team_abbreviations(log: DataFrame) -> DataFrame:
 
 def repair_team_ids(board: DataFrame, log: DataFrame) -> DataFrame:
     """Fill missing ids of a board from the log; keys match without leading zeros."""
-    bare = lambda c: F.ltrim(F.col(c).cast("string"), F.lit("0"))
+    bare = lambda c: F.regexp_replace(F.col(c).cast("string"), "^0+(?=.)", "")
     broken = board.filter("home_team_id is null or away_team_id is null").select(bare("game_id").alias("_key")).distinct()
     matchup, when = F.col("matchup"), F.struct("game_date", "team_id")
     known = (

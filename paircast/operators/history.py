@@ -16,6 +16,11 @@ def is_completed(column: str = "correct") -> Column:
     return value.isNotNull() & (value != "")
 
 
+def as_flag(column: str = "correct") -> Column:
+    """0 or 1 from a number or its text, with or without decimals."""
+    return F.expr(f"try_cast(try_cast({column} as double) as int)")
+
+
 def completed(history: DataFrame) -> DataFrame:
     """Finished predictions with numeric columns; text that is no number is missing."""
     numbers = {
@@ -23,7 +28,7 @@ def completed(history: DataFrame) -> DataFrame:
         for c in ("confidence", "home_win_prob", "model_agreement")
         if c in history.columns
     }
-    return history.filter(is_completed()).withColumns({**numbers, "correct": F.expr("try_cast(correct as int)")})
+    return history.filter(is_completed()).withColumns({**numbers, "correct": as_flag()})
 
 
 def pending(history: DataFrame) -> DataFrame:
@@ -63,7 +68,7 @@ def backfill(history: DataFrame, results: DataFrame, dates: DataFrame | None = N
     joined = history.join(known, KEY, "left").join(touched, "date", "left")
     found = F.col("_touched") & F.col("_winner").isNotNull()
     return (
-        joined.withColumn("correct", F.when(found, (F.col("prediction") == F.col("_winner")).cast("int")).otherwise(F.expr("try_cast(correct as int)")))
+        joined.withColumn("correct", F.when(found, (F.col("prediction") == F.col("_winner")).cast("int")).otherwise(as_flag()))
         .withColumn("winner", F.when(found, F.col("_winner")).otherwise(F.col("winner")))
         .select(*history.columns)
     )

@@ -11,14 +11,15 @@ def is_final_text(status: Column) -> Column:
 
 def scoreboard_status(board: DataFrame, day: str = "game_date") -> DataFrame:
     """Per day: games, whether all or any are final, and rows per status text."""
-    per_status = board.groupBy(day, "game_status").agg(F.count(F.lit(1)).alias("n"))
+    text = F.coalesce("game_status", F.lit("None"))
+    per_status = board.groupBy(day, text.alias("game_status")).agg(F.count(F.lit(1)).alias("n"))
     final = is_final_text(F.col("game_status"))
     return per_status.groupBy(day).agg(
         F.sum("n").alias("n_games"),
         F.bool_and(final).alias("all_final"),
         F.bool_or(final).alias("any_final"),
         F.map_from_entries(
-            F.array_sort(F.collect_list(F.struct(F.coalesce("game_status", F.lit("None")).alias("status"), "n")))
+            F.array_sort(F.collect_list(F.struct(F.col("game_status").alias("status"), "n")))
         ).alias("status_counts"),
     )
 

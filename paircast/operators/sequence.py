@@ -72,13 +72,15 @@ def with_sequence(df: DataFrame, keys: list[str], chunk: str, order: list, name:
     )
 
 
-def with_halo_blocks(df: DataFrame, halo: int, seq: str = "seq", rows: int = BLOCK_ROWS) -> DataFrame:
+def with_halo_blocks(df: DataFrame, halo: int, seq: str = "seq", rows: int | None = None) -> DataFrame:
     """Add `_block`, `_own` and `_pos`; the last `halo` rows of a block appear twice.
 
     `_own` marks the copy that belongs to the block; halo copies only feed the
     frames of the rows after them and are dropped by `own_rows`. `_pos` is the
-    position relative to the start of the block, negative inside the halo.
+    position relative to the start of the block, negative inside the halo. A
+    block has BLOCK_ROWS rows, or twice the halo if that is more.
     """
+    rows = max(BLOCK_ROWS, 2 * halo) if rows is None else rows
     if halo >= rows:
         raise ValueError("the halo must be shorter than a block")
     at = F.col(seq) - 1

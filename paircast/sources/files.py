@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from paircast.operators.history import new_rows
+from paircast.operators.history import as_flag, new_rows
 from paircast.sources import schemas as S
 
 
@@ -46,15 +46,18 @@ def read_odds_snapshots(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_history(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
-    reader = spark.read.schema(S.HISTORY)
-    return reader.csv(path, header=True, enforceSchema=False) if fmt == "csv" else reader.format(fmt).load(path)
+    """Stored predictions; text files write a flag beside gaps as `1.0`, so it is read as text first."""
+    if fmt != "csv":
+        return spark.read.schema(S.HISTORY).format(fmt).load(path)
+    as_text = T.StructType([T.StructField(f.name, T.StringType() if f.name == "correct" else f.dataType) for f in S.HISTORY])
+    return spark.read.schema(as_text).csv(path, header=True, enforceSchema=False).withColumn("correct", as_flag())
 
 
 def write_by_season(log: DataFrame, path: str, replace_all: bool = False) -> None:
     """Write the log by season; without `replace_all` only the given seasons change."""
     mode = "static" if replace_all else "dynamic"
     (
-        log.repartition("season", F.pmod(F.hash("game_id"), F.lit(16)))  # a season is not one task
+        log.hint("rebalance", "season")  # Spark splits and merges tasks by their measured size
         .write.mode("overwrite")
         .option("partitionOverwriteMode", mode)
         .partitionBy("season")
@@ -87,6 +90,14 @@ def append_odds(features: DataFrame, path: str) -> None:
     features.write.mode("append").partitionBy("game_date").parquet(path)
 
 
+def read_odds_features(spark: SparkSession, path: str) -> DataFrame | None:
+    """The cached odds features, their day as a date, or None when there are none."""
+    if not exists(spark, path):
+        return None
+    cached = spark.read.parquet(path)
+    return cached.withColumn("game_date", F.to_date("game_date"))
+
+
 def write_report(metrics: DataFrame, path: str) -> None:
     """Evaluation metrics as JSON lines."""
     metrics.coalesce(1).write.mode("overwrite").json(path)
@@ -94,3 +105,13 @@ def write_report(metrics: DataFrame, path: str) -> None:
 
 def write_ratings(current: DataFrame, path: str, as_of: str) -> None:
     current.withColumn("as_of", F.lit(as_of).cast("date")).write.mode("overwrite").parquet(path)
+
+
+def read_ratings(spark: SparkSession, path: str, as_of: str | None = None) -> DataFrame | None:
+    """A rating snapshot to go on from, or None when there is none (of that day)."""
+    if not exists(spark, path):
+        return None
+    ratings = spark.read.parquet(path)
+    if as_of is not None:
+        ratings = ratings.filter(F.col("as_of") == F.lit(as_of).cast("date"))
+    return ratings

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from paircast.operators.games import overlay_status
-from paircast.operators.ratings import RATED, fold_frames
+from paircast.operators.ratings import fold_frames, rated_schema
 from paircast.session import scratch_path
 
 
@@ -79,18 +79,20 @@ def rate_stream(contests: DataFrame) -> DataFrame:
     task holds, and `files_per_batch` of the source bounds it.
     """
     return contests.groupBy("pool").applyInPandasWithState(
-        _rate, RATED, _STATE, "append", GroupStateTimeout.NoTimeout
+        _rate, rated_schema(contests), _STATE, "append", GroupStateTimeout.NoTimeout
     )
 
 
-def backfill_stream(predictions: DataFrame, results: DataFrame, delay: str = "7 days") -> DataFrame:
-    """Predictions joined to results that arrive later, both under a watermark."""
+def backfill_stream(predictions: DataFrame, results: DataFrame, delay: str = "7 days", within: str | None = None) -> DataFrame:
+    """Predictions joined to results that arrive later, both under a watermark.
+
+    With `within`, an interval, predictions wait that long and are then dropped
+    from the state; without it every pending prediction waits for its result.
+    """
     left = predictions.withWatermark("predicted_at", delay).alias("p")
     right = results.withWatermark("finished_at", delay).alias("r")
-    same = (
-        (F.col("p.game_id") == F.col("r.game_id"))
-        & (F.col("r.finished_at") >= F.col("p.predicted_at"))
-        & (F.col("r.finished_at") <= F.col("p.predicted_at") + F.expr("interval 2 days"))
-    )
+    same = (F.col("p.game_id") == F.col("r.game_id")) & (F.col("r.finished_at") >= F.col("p.predicted_at"))
+    if within is not None:
+        same = same & (F.col("r.finished_at") <= F.col("p.predicted_at") + F.expr(f"interval {within}"))
     correct = (F.col("p.prediction") == F.col("r.winner")).cast("int")
     return left.join(right, same).select("p.game_id", "p.prediction", "r.winner", correct.alias("correct"))

@@ -184,11 +184,11 @@ def status_overlay(spark, sf_dir):
     SELECT '00' || CAST(b.game_id AS VARCHAR) AS game_id,
       {i8("CASE WHEN b.game_id % 10 = 0 THEN CASE WHEN s.n = 1 THEN s.only ELSE s.h END ELSE b.home_team_id END", 'home_team_id')},
       {i8("CASE WHEN b.game_id % 5 = 0 THEN CASE WHEN s.n > 1 THEN s.a END ELSE b.away_team_id END", 'away_team_id')}
-    FROM board b JOIN sides s USING (game_id) WHERE b.game_id > 0""",
+    FROM board b JOIN sides s USING (game_id)""",
 )
 def repair_team_ids(spark, sf_dir):
     gap = lambda n, c: F.when(F.col("game_id") % n != 0, F.col(c)).alias(c)
-    board = _orders(spark, sf_dir).filter("game_id > 0").select(
+    board = _orders(spark, sf_dir).select(
         F.concat(F.lit("00"), F.col("game_id").cast("string")).alias("game_id"), gap(10, "home_team_id"), gap(5, "away_team_id")
     )
     return tidy(G.repair_team_ids(board, T.game_log(spark, sf_dir)), "game_id", "home_team_id", "away_team_id")

@@ -257,7 +257,7 @@ def season_sql(day: str) -> str:
 
 
 LOG_SQL = f"""
-sums AS (
+sums AS MATERIALIZED (
   SELECT l_orderkey AS game_id, l_linestatus AS side, count(*) AS n,
          CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS q, CAST(sum(l_partkey) AS BIGINT) AS p,
          CAST(sum(l_suppkey) AS BIGINT) AS s,
@@ -286,17 +286,21 @@ box AS (
          'T' || lpad(CAST(team_id AS VARCHAR), 2, '0') || CASE WHEN at_home THEN ' vs. ' ELSE ' @ ' END
              || 'T' || lpad(CAST(other_id AS VARCHAR), 2, '0') AS matchup
   FROM raw),
-log AS (
-  SELECT b.*, CAST(b.pts - o.pts AS DOUBLE) AS plus_minus,
-         CASE WHEN o.pts IS NULL THEN NULL WHEN b.pts > o.pts OR (b.pts = o.pts AND b.at_home) THEN 'W' ELSE 'L' END AS wl
-  FROM box b LEFT JOIN box o ON b.game_id = o.game_id AND b.at_home <> o.at_home)"""
+log AS MATERIALIZED (
+  SELECT b.* EXCLUDE (other_pts), CAST(pts - other_pts AS DOUBLE) AS plus_minus,
+         CASE WHEN other_pts IS NULL THEN NULL WHEN pts > other_pts OR (pts = other_pts AND at_home) THEN 'W' ELSE 'L' END AS wl
+  FROM (SELECT *, CASE WHEN at_home THEN min(CASE WHEN NOT at_home THEN pts END) OVER (PARTITION BY game_id)
+                       ELSE min(CASE WHEN at_home THEN pts END) OVER (PARTITION BY game_id) END AS other_pts FROM box) b)"""
 
 CONTESTS_SQL = f"""{LOG_SQL},
-contests AS (
-  SELECT h.game_id, h.game_date, h.season, h.team_id AS home_team_id, a.team_id AS away_team_id,
-         h.wl AS home_wl, a.wl AS away_wl, h.plus_minus AS home_plus_minus, a.plus_minus AS away_plus_minus,
-         h.team_name AS home_team, a.team_name AS away_team, h.pts AS home_pts, a.pts AS away_pts
-  FROM log h JOIN log a ON h.game_id = a.game_id AND h.at_home AND NOT a.at_home)"""
+contests AS MATERIALIZED (
+  SELECT game_id, any_value(game_date) AS game_date, any_value(season) AS season,
+         min(team_id) FILTER (at_home) AS home_team_id, min(team_id) FILTER (NOT at_home) AS away_team_id,
+         min(wl) FILTER (at_home) AS home_wl, min(wl) FILTER (NOT at_home) AS away_wl,
+         min(plus_minus) FILTER (at_home) AS home_plus_minus, min(plus_minus) FILTER (NOT at_home) AS away_plus_minus,
+         min(team_name) FILTER (at_home) AS home_team, min(team_name) FILTER (NOT at_home) AS away_team,
+         min(pts) FILTER (at_home) AS home_pts, min(pts) FILTER (NOT at_home) AS away_pts
+  FROM log GROUP BY game_id HAVING count(*) = 2)"""
 
 
 def _clip_sql(expr: str) -> str:
@@ -318,7 +322,7 @@ TIER_SQL = (
 )
 
 SCORED_SQL = f"""{CONTESTS_SQL},
-scored AS (
+scored AS MATERIALIZED (
   SELECT game_id, game_date, season, home_team_id, away_team_id, home_team, away_team,
          CASE WHEN home_pts >= away_pts THEN 1 ELSE 0 END AS label,
          {', '.join(_model_sql(i) for i in range(4))}

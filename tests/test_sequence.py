@@ -57,7 +57,7 @@ def test_form_does_not_depend_on_the_block_size(log, monkeypatch):
 
     rich = advanced_metrics(four_factors(log))
     wide = form.form_features(rich, stats=("pts", "efg_pct"))
-    monkeypatch.setattr(form, "with_halo_blocks", lambda df, halo: with_halo_blocks(df, halo, rows=halo + 7))
+    monkeypatch.setattr(form, "with_halo_blocks", lambda df, halo: with_halo_blocks(df, halo, rows=264))  # as short as the carry allows
     narrow = form.form_features(rich, stats=("pts", "efg_pct"))
     made = [c for c in wide.columns if c not in log.columns]
     rounded = lambda df: df.select("game_id", "team_id", *[F.round(F.col(c).cast("double"), 7).alias(c) for c in made])
@@ -68,3 +68,43 @@ def test_form_does_not_depend_on_the_block_size(log, monkeypatch):
 def test_exact_median(spark, values):
     rows = spark.createDataFrame([(v,) for v in values], "p double")
     assert exact_median(rows, "p", F.floor(F.col("p") * 4)).first()[0] == statistics.median(values)
+
+
+def _series(spark, values, **options):
+    """Form columns of one team whose points are the given values, in order."""
+    from paircast.operators.form import form_features
+
+    rows = [(1, i, "T01 vs. T02", "W", None if v is None else float(v)) for i, v in enumerate(values)]
+    log = spark.createDataFrame(rows, "team_id long, game_id long, matchup string, wl string, pts double")
+    log = log.withColumn("game_date", F.date_add(F.lit("2020-01-01").cast("date"), F.floor(F.col("game_id") / 7).cast("int")))
+    out = form_features(log, stats=("pts",), momentum=False, **options).orderBy("game_id")
+    return out.toPandas()
+
+
+def test_form_against_pandas_over_block_edges(spark):
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+    values = list(rng.normal(100, 10, 2600))
+    values[1700:2300] = [None] * 600  # nothing for a while, over a block edge
+    values[10] = float("nan")
+    values[2400:] = [0.456] * 200  # a level that stays
+    got = _series(spark, values)
+    past = pd.Series([np.nan if v is None else v for v in values]).shift(1)
+    for name, want in (("pts_ewm", past.ewm(span=10, min_periods=5).mean()), ("pts_roll_mean", past.rolling(20, min_periods=5).mean())):
+        assert np.allclose(got[name], want, rtol=1e-9, equal_nan=True), name
+    assert (got["pts_roll_std"][2430:] == 0).all()
+    direct = [past[i - 19 : i + 1].std() if past[i - 19 : i + 1].count() >= 5 else np.nan for i in range(19, 2600)]
+    assert np.allclose(got["pts_roll_std"][19:], direct, rtol=1e-6, atol=1e-9, equal_nan=True)
+
+
+def test_long_windows(spark):
+    import numpy as np
+    import pandas as pd
+
+    values = list(np.random.default_rng(4).normal(0, 1, 7000))
+    got = _series(spark, values, window=2100)
+    past = pd.Series(values).shift(1)
+    assert np.allclose(got["pts_roll_mean"], past.rolling(2100, min_periods=5).mean(), atol=1e-9, equal_nan=True)
+    assert np.allclose(got["pts_ewm"], past.ewm(span=10, min_periods=5).mean(), atol=1e-9, equal_nan=True)
