@@ -77,3 +77,8 @@ def keep_last(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     rest = [c for c in df.columns if c not in keys]
     last = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_row"))
     return last.select(*keys, "_row.*").select(*df.columns)
+
+
+def feature_profile(rows: DataFrame, label: str, feature: str) -> DataFrame:
+    """Rows and range of a feature by label; a feature that tells the label apart shows up at once."""
+    return rows.groupBy(label).agg(F.count(F.lit(1)).alias("n"), F.min(feature).alias("low"), F.max(feature).alias("high"))

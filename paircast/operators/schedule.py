@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def is_final_text(status: Column) -> Column:
@@ -29,3 +29,10 @@ def all_finished(board: DataFrame, day: str = "game_date") -> DataFrame:
     return board.groupBy(day).agg(
         F.bool_and(F.coalesce(F.col("game_status") == "Final", F.lit(False))).alias("all_finished")
     )
+
+
+def top_statuses(board: DataFrame, n: int = 3, day: str = "game_date") -> DataFrame:
+    """The n most frequent status texts of each day, ties by text."""
+    counts = board.groupBy(day, F.coalesce("game_status", F.lit("None")).alias("game_status")).agg(F.count(F.lit(1)).alias("n"))
+    place = F.row_number().over(Window.partitionBy(day).orderBy(F.desc("n"), "game_status"))
+    return counts.withColumn("place", place).filter(F.col("place") <= n)

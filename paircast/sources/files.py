@@ -87,7 +87,7 @@ def append_history(rows: DataFrame, path: str) -> None:
 
 
 def append_odds(features: DataFrame, path: str) -> None:
-    features.write.mode("append").partitionBy("game_date").parquet(path)
+    features.write.mode("append").parquet(path)
 
 
 def read_odds_features(spark: SparkSession, path: str) -> DataFrame | None:

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("log_queries", "contest_queries", "history_queries", "eval_queries", "odds_queries", "schedule_queries", "model_queries", "stream_queries")
+MODULES = ("log_queries", "contest_queries", "history_queries", "eval_queries", "odds_queries", "schedule_queries", "model_queries", "stream_queries", "storage_queries")
 
 
 def load_all() -> None:
