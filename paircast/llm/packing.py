@@ -10,8 +10,11 @@ most one document and no conflict is left. Gaps shrink, and the rest goes into
 the next round. A round opens new sequences, with the longest rests, only when
 no gap holds any rest: at first as many as the sum of lengths needs at least.
 
-The sweep needs two counts per length (at most 2 x capacity numbers,
-whatever the corpus); documents and gaps themselves stay in Spark.
+Documents of one length are alike to a sweep, and so are sequences filled
+alike. So the rounds are settled on runs of ranks (a count for each length,
+and runs of sequences with equal content), whose number depends on the
+capacity and not on the corpus. Documents never pass through the driver: Spark
+counts and ranks them, and each finds the run that its rank falls in.
 
 Cases: a null text is empty, and is one end id long; rows that repeat a
 document are packed once each; an empty table packs into nothing; other
@@ -74,42 +77,61 @@ def ranked(df: DataFrame, by: str, order: list[Column], name: str) -> DataFrame:
     return local.join(shift, [by, "_part"]).withColumn(name, (F.col(name) + F.col("_shift")).cast("long")).drop("_part", "_shift")
 
 
-def sweep(items: dict[int, int], gaps: dict[int, int]) -> list[tuple[int, int, int, int, int]]:
-    """Match counts of lengths with counts of gaps, longest first.
+Run = list[int]  # first sequence, how many
 
-    Returns (length, first rank, gap, first rank of gap, how many). Going down
-    in size, gaps are stacked and a document takes the latest, which is the
-    smallest gap that holds it and is free.
+
+def sweep(waiting: dict[int, int], gaps: dict[int, list[Run]]) -> list[tuple[int, int, int, int]]:
+    """One round: (length, gap, first sequence, how many), longest first.
+
+    Going down in size, gaps are stacked and a document takes the latest, which
+    is the smallest gap that holds it and is free. Matched documents leave
+    `waiting`, matched sequences leave `gaps`.
     """
-    free: list[list[int]] = []  # gap, first free rank, how many
+    free: list[int] = []
     out = []
-    for size in sorted({*items, *gaps}, reverse=True):
-        if gaps.get(size):
-            free.append([size, 0, gaps[size]])
-        rank, left = 0, items.get(size, 0)
-        while left and free:
-            gap, first, count = free[-1]
-            n = min(left, count)
-            out.append((size, rank, gap, first, n))
-            rank, left = rank + n, left - n
-            free[-1] = [gap, first + n, count - n]
+    for size in sorted({*waiting, *gaps}, reverse=True):
+        if size in gaps:
+            free.append(size)
+        while waiting.get(size) and free:
+            gap = free[-1]
+            first, count = gaps[gap][-1]
+            n = min(waiting[size], count)
+            out.append((size, gap, first, n))
+            waiting[size] -= n
+            gaps[gap][-1] = [first + n, count - n]
             if count == n:
-                free.pop()
+                gaps[gap].pop()
+                if not gaps[gap]:
+                    del gaps[gap]
+                    free.pop()
+        if waiting.get(size) == 0:
+            del waiting[size]
     return out
 
 
-def _counts(df: DataFrame, column: str) -> dict[int, int]:
-    return {r[0]: r[1] for r in df.groupBy(column).count().collect()}  # at most one row per length
+def rounds(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
+    """Places for counts of lengths: (length, first rank, how many, first sequence, offset)."""
+    waiting, gaps = dict(counts), {}
+    ranks = dict.fromkeys(counts, 0)
+    opened, out = 0, []
+    while waiting:
+        matched = sweep(waiting, gaps)
+        if not matched:
+            # No gap holds any rest: open sequences with the longest.
+            total = sum(size * n for size, n in waiting.items())
+            n = max(-(-total // capacity), sum(n for size, n in waiting.items() if 2 * size > capacity))
+            matched = sweep(waiting, {capacity: [[opened, n]]})
+            opened += n
+        for size, gap, first, n in matched:
+            out.append((size, ranks[size], n, first, capacity - gap))
+            ranks[size] += n
+            if gap > size:
+                gaps.setdefault(gap - size, []).append([first, n])
+    return out
 
 
-def _longest(counts: dict[int, int], n: int) -> dict[int, int]:
-    """How many of each length are among the n longest."""
-    out = {}
-    for size in sorted(counts, reverse=True):
-        if n > 0:
-            out[size] = min(n, counts[size])
-            n -= out[size]
-    return out
+#: Runs that are broadcast; more are joined by shuffle.
+BROADCAST_RUNS = 500_000
 
 
 def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -118,58 +140,14 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     Every item gets a place; items in one sequence follow each other without a
     gap from offset 0.
     """
-    spark = items.sparkSession
     names = items.columns
-    order = [F.col(c) for c in names]
-    waiting = items
-    counts = _counts(waiting, "length")
-    placed: list[DataFrame] = []
-    gaps: DataFrame | None = None
-    opened = 0
-    while counts:
-        gap_counts = _counts(gaps, "gap") if gaps is not None else {}
-        matches = sweep(counts, gap_counts)
-        if not matches:
-            # No gap holds any rest: open sequences with the longest.
-            total = sum(size * n for size, n in counts.items())
-            longest = _longest(counts, max(-(-total // capacity), sum(n for size, n in counts.items() if 2 * size > capacity)))
-            rows, base = [], opened
-            for size, n in longest.items():
-                rows.append((size, n, base))
-                base += n
-            opened = base
-            seeds = spark.createDataFrame(rows, "length long, _n long, _base long")  # a row per length at most
-            spread = ranked(waiting, "length", order, "_rank").join(F.broadcast(seeds), "length", "left")
-            spread = spread.withColumn("sequence_id", F.when(F.col("_rank") < F.col("_n"), F.col("_base") + F.col("_rank"))).withColumn("offset", F.lit(0).cast("long"))
-        else:
-            rows = [(s, r, r + n, g, f, i) for i, (s, r, g, f, n) in enumerate(matches)]
-            table = spark.createDataFrame(rows, "length long, _from long, _to long, _gap long, _first long, _match int")
-            # The table has at most one row for each length and each gap.
-            left = ranked(waiting, "length", order, "_rank").alias("a")
-            left = left.join(F.broadcast(table).alias("b"), (F.col("a.length") == F.col("b.length")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to")), "left")
-            left = left.select("a.*", "_match", (F.col("_rank") - F.col("_from")).alias("_k"))
-            right = ranked(gaps, "gap", [F.col("sequence_id")], "_gap_rank").alias("g")
-            right = right.join(
-                F.broadcast(table.withColumn("_until", F.col("_first") + F.col("_to") - F.col("_from"))).alias("b"),
-                (F.col("g.gap") == F.col("b._gap")) & (F.col("_gap_rank") >= F.col("_first")) & (F.col("_gap_rank") < F.col("_until")),
-            ).select("_match", (F.col("_gap_rank") - F.col("_first")).alias("_k"), "sequence_id", (capacity - F.col("gap")).alias("offset"))
-            spread = left.join(right, ["_match", "_k"], "left")
-        done = stored(spread.select(*names, "sequence_id", "offset"), "packing-round")
-        fresh = done.where(F.col("sequence_id").isNotNull())
-        placed.append(fresh)
-        filled = fresh.select("sequence_id", (capacity - F.col("offset") - F.col("length")).alias("gap"))
-        if gaps is not None:
-            filled = filled.unionByName(gaps.join(filled.select("sequence_id"), "sequence_id", "left_anti"))
-        smallest = min(counts)
-        gaps = stored(filled.where(F.col("gap") >= smallest), "packing-gaps")
-        waiting = done.where(F.col("sequence_id").isNull()).select(*names)
-        counts = _counts(waiting, "length")
-    if not placed:
-        return items.select("*", F.lit(None).cast("long").alias("sequence_id"), F.lit(None).cast("long").alias("offset"))
-    out = placed[0]
-    for df in placed[1:]:
-        out = out.unionByName(df)
-    return out
+    counts = {r["length"]: r["count"] for r in items.groupBy("length").count().collect()}  # a row per length
+    rows = [(size, first, first + n, sequence, offset) for size, first, n, sequence, offset in rounds(counts, capacity)]
+    places = items.sparkSession.createDataFrame(rows, "length long, _from long, _to long, _sequence long, offset long")
+    if len(rows) <= BROADCAST_RUNS:
+        places = F.broadcast(places)
+    placed = ranked(items, "length", [F.col(c) for c in names], "_rank").join(places, "length").where((F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to")))
+    return placed.select(*names, (F.col("_sequence") + F.col("_rank") - F.col("_from")).alias("sequence_id"), "offset")
 
 
 def packed_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:

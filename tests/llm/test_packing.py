@@ -67,8 +67,23 @@ def test_lengths_with_ties(spark):
 
 
 def test_sweep_takes_the_smallest_gap():
-    assert packing.sweep({5: 2, 3: 1}, {9: 1, 5: 1, 4: 1}) == [(5, 0, 5, 0, 1), (5, 1, 9, 0, 1), (3, 0, 4, 0, 1)]
-    assert packing.sweep({5: 1}, {4: 3}) == []
+    waiting, gaps = {5: 2, 3: 1}, {9: [[0, 1]], 5: [[1, 1]], 4: [[2, 1]]}
+    assert packing.sweep(waiting, gaps) == [(5, 5, 1, 1), (5, 9, 0, 1), (3, 4, 2, 1)]
+    assert waiting == {} and gaps == {}
+    assert packing.sweep({5: 1}, {4: [[0, 3]]}) == []
+
+
+def test_runs_do_not_grow_with_the_corpus():
+    import random
+
+    rng = random.Random(3)
+    counts = {}
+    for _ in range(40000):
+        size = min(2048, int(rng.lognormvariate(5.8, 1)) + 1)
+        counts[size] = counts.get(size, 0) + 1
+    few = len(packing.rounds(counts, 2048))
+    many = len(packing.rounds({s: 1000 * n for s, n in counts.items()}, 2048))
+    assert many < 2 * few
 
 
 def test_empty(spark):
