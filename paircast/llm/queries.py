@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from paircast.llm import decontaminate, fingerprints, language, licenses, ngram_join, packing, quality, suffix_dedup, token_files, toxicity
 from paircast.llm.common import held_out, read
+from paircast.llm.oracles import SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -73,6 +74,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_fingerprints, op2_pack, op3_ngram_join, op4_suffix_dedup, op5_language, op6_token_files, op7_quality, op8_toxicity, op9_decontaminate, op10_license_scan, pipeline)}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = dict(SQL)
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
