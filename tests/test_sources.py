@@ -111,3 +111,53 @@ def test_rating_stream_over_batches_equals_the_batch(spark, log, tmp_path):
     source = streams.file_stream(spark, str(tmp_path / "in"), narrow.schema, files_per_batch=1)
     streamed = {r.game_id: r.elo_home for r in streams.drain(streams.rate_stream(source), "t").collect()}
     assert streamed == pytest.approx({r.game_id: r.elo_home for r in elo_ratings(contests).collect()})
+
+
+def test_history_flags_with_decimals(spark, tmp_path):
+    from paircast.operators import stats
+    from paircast.operators.history import backfill
+    from paircast.sources.files import read_history
+
+    (tmp_path / "history.csv").write_text(
+        "date,away_team,home_team,prediction,winner,confidence,home_win_prob,model_agreement,tier,correct\n"
+        "2024-01-01,A,B,B,B,0.5,0.75,0.9,EXCELLENT,1.0\n2024-01-01,C,D,C,D,0.4,0.3,0.9,STRONG,0.0\n2024-01-02,A,D,A,,0.4,0.3,0.9,STRONG,\n"
+    )
+    history = read_history(spark, str(tmp_path / "history.csv"))
+    row = stats.overall(history).first()
+    assert (row.total, row.correct, row.pending) == (2, 1, 1)
+    results = spark.createDataFrame([("A", "D", "D")], "away_team string, home_team string, winner string").withColumn("date", F.lit("2024-01-02").cast("date"))
+    filled = {(r.away_team, r.home_team): r.correct for r in backfill(history, results).collect()}
+    assert filled == {("A", "B"): 1, ("C", "D"): 0, ("A", "D"): 0}
+
+
+def test_null_status_beside_its_text(spark):
+    from paircast.operators.schedule import scoreboard_status, top_statuses
+
+    board = spark.createDataFrame([(1, None), (1, "None"), (1, "Final")], "game_date int, game_status string")
+    row = scoreboard_status(board).first()
+    assert row.status_counts == {"None": 2, "Final": 1} and not row.all_final and row.any_final
+    assert [r.game_status for r in top_statuses(board, 1).collect()] == ["None"]
+
+
+def test_ratings_keep_text_ids_and_go_on_from_a_snapshot(spark, tmp_path):
+    from paircast.operators.ratings import elo_current, elo_ratings
+    from paircast.sources.files import read_ratings, write_ratings
+
+    rows = [("0022300001", "2024-01-01", 1, 2, "W"), ("0022300002", "2024-01-02", 2, 1, "W")]
+    contests = spark.createDataFrame(rows, "game_id string, day string, home_team_id long, away_team_id long, home_wl string")
+    contests = contests.select("*", F.col("day").cast("date").alias("game_date"), F.lit("2023-24").alias("season"))
+    assert {r.game_id for r in elo_ratings(contests).collect()} == {"0022300001", "0022300002"}
+    path = f"{tmp_path}/ratings"
+    assert read_ratings(spark, path) is None
+    write_ratings(elo_current(contests), path, "2024-01-02")
+    assert read_ratings(spark, path, "2024-01-02").count() == 2 and read_ratings(spark, path, "2024-01-01").count() == 0
+
+
+def test_odds_cache(spark, tmp_path):
+    from paircast.sources.files import append_odds, read_odds_features
+
+    path = f"{tmp_path}/odds"
+    assert read_odds_features(spark, path) is None
+    rows = spark.createDataFrame([("2024-01-01", 1.5), ("2024-01-02", 1.7)], "game_date string, home_avg_odds double")
+    append_odds(rows, path)
+    assert [str(r.game_date) for r in read_odds_features(spark, path).orderBy("game_date").collect()] == ["2024-01-01", "2024-01-02"]
