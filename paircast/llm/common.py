@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Bytes of text worked on at once; one longer text makes a batch of its own.
-BATCH_BYTES = 3 << 20
+BATCH_BYTES = 3 << 19
 #: Stands for a null doc_id in joins, which would lose nulls.
 NULL_ID = -(2**63)
 
