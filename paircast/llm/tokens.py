@@ -18,11 +18,13 @@ from tokenizers import Tokenizer
 
 _SAFE = "!-~¡-ɏ"
 #: Something that the plain cut must not meet.
-_ODD = re.compile(f"(?:^|[ \n])(?=[ \n]|$)|[^ \n{_SAFE}]|(?<![A-Za-z0-9À-ÖØ-öø-ɏ.,])[.,]")
+_ODD = re.compile(f"(?:^|[ \n])(?=[ \n]|$)|[^ \n{_SAFE}]|İ|(?<![A-Za-z0-9À-ÖØ-öø-ɏ.,])[.,]")
 _PIECES = re.compile(r"[ \n]?[^ \n.,]+|[.,][^ \n]*")
+#: The same without the white space before a piece.
+_BARE = re.compile(r"[^ \n.,]+|[.,][^ \n]*")
 _CUT = re.compile(f"(?<=[{_SAFE}])(?=[ \n][{_SAFE}])")
 #: Pieces remembered by a worker, at most.
-REMEMBERED = 1 << 20
+REMEMBERED = 3 << 19
 
 
 class _Ids(dict):
@@ -31,6 +33,8 @@ class _Ids(dict):
     def __init__(self, tokenizer: Tokenizer) -> None:
         super().__init__()
         self.tokenizer = tokenizer
+        # Where neither case nor white space leaves a trace in the ids, pieces that differ in them only are one.
+        self.folds = len({tuple(tokenizer.encode(t, add_special_tokens=False).ids) for t in ("ab", "Ab", " aB", "\nAB")}) == 1
 
     def __missing__(self, piece: str) -> bytes:
         ids = b"".join(i.to_bytes(4, "little") for i in self.tokenizer.encode(piece, add_special_tokens=False).ids)
@@ -51,5 +55,11 @@ def encode(path: str, text: str | None) -> bytes:
     """The ids of a text as little-endian unsigned 32-bit integers; null is empty."""
     if not text:
         return b""
-    pieces = _CUT.split(text) if _ODD.search(text) else _PIECES.findall(text)
-    return b"".join(map(_ids(path).__getitem__, pieces))
+    ids = _ids(path)
+    if _ODD.search(text):
+        pieces = _CUT.split(text)
+    elif ids.folds:
+        pieces = _BARE.findall(text.lower())
+    else:
+        pieces = _PIECES.findall(text)
+    return b"".join(map(ids.__getitem__, pieces))

@@ -12,7 +12,7 @@ from paircast.llm import token_files, tokens
 from paircast.llm.elias_fano import EliasFano
 
 FILES = ("word_bpe_49k.json", "byte_bpe_50k.json")
-PARTS = ["a", "B", "word", " ", "  ", "\n", "\t", "'s", "é", "é", "́", "1", "23", ".", ",", "...", ").", "--", " ", " ", "Σ", "ς", "你", "\x85", "\x1c", "<|endoftext|>", "­", "​", "ß", "İ", "×", "²", "/", "@"]
+PARTS = ["a", "B", "word", " ", "  ", "\n", "\t", "'s", "é", "é", "́", "1", "23", ".", ",", "...", ").", "--", " ", " ", "Σ", "ς", "你", "\x85", "\x1c", "<|endoftext|>", "­", "​", "ß", "İ", "×", "²", "/", "@", "ÀÉ", "ẞ", "Ā", "Ⱥ", "ǅ"]
 
 
 def library(name):
