@@ -51,6 +51,8 @@ _N = 28
 _SYMBOL = np.zeros(256, np.int64)
 for _b in range(256):
     _SYMBOL[_b] = (_b | 32) - 96 if 65 <= _b <= 90 or 97 <= _b <= 122 else 27 if _b >= 192 else -1 if _b >= 128 else 0
+#: Bytes that are ASCII letters or digits.
+_PLAIN = np.array([chr(b).isalnum() and b < 128 for b in range(256)])
 
 
 def _symbol(c: str) -> int:
@@ -59,6 +61,8 @@ def _symbol(c: str) -> int:
 
 _DISGUISED = re.compile(r"[^\W\d_][^\w\s]+[^\W\d_]|[^\W\d_][\d_@$!|+(*]|[\d@$!|+(€£¡*][^\W\d_]|([^\W\d_])\1\1")
 _EDGES = re.compile(r"^[^\w@$!|+(€£¡]+|[^\w@$!]+$")
+#: One letter or digit between marks, or one sign that stands for a letter before marks.
+_LETTER = re.compile(r"(?:[^\w@$!|+€£]|_)*([^\W_])(?:[^\w@$€£]|_)*|([@$!|+(€£¡*])[^\w@$!|+(€£¡*]*")
 
 
 def _trigrams():
@@ -139,31 +143,46 @@ class Reader:
         return min(ends)[1]
 
 
+def _letter(token: bytes) -> str:
+    """The letter of a token that is one character, but for marks at its edges; empty for others."""
+    text = token.decode("utf-8", "replace")
+    if len(text) == 1:
+        return text
+    found = _LETTER.fullmatch(text)
+    return found[1] or found[2] if found else ""
+
+
 def _tokens(w: Words) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """Distinct tokens of a batch: (document, token) pairs without repeats, and the tokens.
+    """Distinct tokens of a batch: (document, token) pairs without repeats, in the order of documents, and the tokens.
 
-    Three or more one-letter tokens in a row are taken together as one more.
+    Three or more tokens of one letter in a row are taken together as one more.
     """
     code = pa.array(w.hash).dictionary_encode()
     kinds = code.indices.to_numpy()
     first = np.zeros(len(code.dictionary), np.int64)
     first[kinds[::-1]] = np.arange(len(kinds))[::-1]
     tokens = [w.word(i) for i in first]
-    pairs = np.unique(w.doc * len(tokens) + kinds) if len(kinds) else np.zeros(0, np.int64)
-    doc, kind = (pairs // len(tokens), pairs % len(tokens)) if len(tokens) else (pairs, pairs)
-    single = (w.end - w.start <= 2).astype(np.int8)
-    step = np.diff(np.concatenate([[0], single, [0]]))
+    if not tokens:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), tokens
+    pairs = np.unique(w.doc * len(tokens) + kinds)
+    doc, kind = pairs // len(tokens), pairs % len(tokens)
+    # Few tokens without two plain letters are left for a closer look.
+    plain = np.concatenate([[0], np.cumsum(_PLAIN[w.low])])
+    letters = [_letter(t) if n <= 1 else "" for t, n in zip(tokens, (plain[w.end[first]] - plain[w.start[first]]).tolist())]
+    single = np.array([x != "" for x in letters])[kinds]
+    joined = single[1:] & single[:-1] & (w.doc[1:] == w.doc[:-1])
+    begins, ends = single.copy(), single.copy()
+    begins[1:] &= ~joined
+    ends[:-1] &= ~joined
     docs, kinds_more = [], []
-    for a, b in zip(np.flatnonzero(step == 1), np.flatnonzero(step == -1)):
+    for a, b in zip(np.flatnonzero(begins), np.flatnonzero(ends) + 1):
         if b - a >= 3:
-            cuts = [a, *(np.flatnonzero(np.diff(w.doc[a:b])) + a + 1), b]
-            for x, y in zip(cuts[:-1], cuts[1:]):
-                own = [w.word(i).decode("utf-8", "replace") for i in range(x, y)]
-                if y - x >= 3 and all(len(t) == 1 for t in own):
-                    docs.append(int(w.doc[x]))
-                    kinds_more.append(len(tokens))
-                    tokens.append(" ".join(own).encode())
-    return np.concatenate([doc, np.array(docs, np.int64)]), np.concatenate([kind, np.array(kinds_more, np.int64)]), tokens
+            docs.append(int(w.doc[a]))
+            kinds_more.append(len(tokens))
+            tokens.append(" ".join(letters[k] for k in kinds[a:b]).encode())
+    doc, kind = np.concatenate([doc, np.array(docs, np.int64)]), np.concatenate([kind, np.array(kinds_more, np.int64)])
+    order = np.argsort(doc, kind="stable")
+    return doc[order], kind[order], tokens
 
 
 class Vocabulary:
