@@ -19,8 +19,9 @@ one, so repeats and other columns do not matter.
 
 from __future__ import annotations
 
+import os
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +34,14 @@ from paircast.llm.sampling import labelled_sample
 ROWS_PER_CLASS = 4000
 #: Least G statistic and least toxic rows of a weighted beginning; its lengths.
 SIGNIFICANT, LEAST_ROWS, BEGINNINGS = 16.0, 4, (4, 5, 6, 7)
-#: Restored tokens a worker remembers.
-REMEMBERED = 1 << 19
+#: Letters of the longest word looked for at the end of letters set apart; shorter ones may begin at any letter.
+LONGEST = 64
+#: Restored tokens a worker remembers, and the bytes of the longest.
+REMEMBERED, SHORT = 1 << 19, 1000
+#: Characters after which a reading is cut where all paths agree.
+SETTLE = 256
+#: Buckets in which beginnings of toxic rows are counted before those that may carry a weight are.
+BUCKETS = 1 << 24
 
 #: What a character may stand for. Fixed values.
 STANDS_FOR = {
@@ -104,6 +111,9 @@ class Reader:
 
     def __init__(self, model: np.ndarray) -> None:
         self.model = model.tolist()
+        # A path this much dearer than the best cannot win any more: the best could go on like it, but for
+        # one repetition to be written first and the symbols before the next three.
+        self.margin = -5.0 * float(model.min())
 
     def _options(self, c: str, last: str) -> list[tuple[str, float]]:
         """(what is written, price) for a character after the letter `last`."""
@@ -122,10 +132,14 @@ class Reader:
         return out
 
     def read(self, token: str) -> str:
-        """The best reading; words are parted by spaces."""
+        """The best reading; words are parted by spaces.
+
+        Paths keep what they have written since all of them agreed, so time and memory follow the length.
+        """
+        settled: list[str] = []
         # state: last two symbols and the last letter -> (price, text)
         states: dict[tuple[int, int, str], tuple[float, str]] = {(0, 0, ""): (0.0, "")}
-        for c in token:
+        for at, c in enumerate(token, 1):
             new: dict[tuple[int, int, str], tuple[float, str]] = {}
             for (a, b, last), (price, text) in states.items():
                 for written, cost in self._options(c, last):
@@ -139,8 +153,14 @@ class Reader:
                     if state not in new or (total, longer) < new[state]:
                         new[state] = (total, longer)
             states = new
+            if at % SETTLE == 0:
+                dear = min(price for price, _ in states.values()) + self.margin
+                states = {k: v for k, v in states.items() if v[0] <= dear}
+                shared = os.path.commonprefix([text for _, text in states.values()])
+                settled.append(shared)
+                states = {k: (price, text[len(shared) :]) for k, (price, text) in states.items()}
         ends = ((price - self.model[a][b][0], text) for (a, b, _), (price, text) in states.items())
-        return min(ends)[1]
+        return "".join(settled) + min(ends)[1]
 
 
 def _letter(token: bytes) -> str:
@@ -191,7 +211,8 @@ class Vocabulary:
     def __init__(self, reader: Reader) -> None:
         self.reader = reader
 
-    def forms(self, token: bytes) -> set[str]:
+    def read(self, token: bytes) -> tuple[set[str], str]:
+        """The words of a token, and for letters set apart all of them, where a word may begin at any."""
         text = token.decode("utf-8", "replace").lower()
         spaced = " " in text
         bare = text if spaced else _EDGES.sub("", text)
@@ -200,19 +221,25 @@ class Vocabulary:
             words.update(p for p in re.split(r"[\W\d_]+", text) if p)
         if spaced or _DISGUISED.search(bare):
             words.update(self.reader.read(bare).split())
-            if spaced:
-                whole = self.reader.read(bare.replace(" ", ""))
-                # The word may begin at any of the letters.
-                words.update(whole[i:] for i in range(len(whole)))
-        return words
+        return words, self.reader.read(bare.replace(" ", "")) if spaced else ""
+
+    def forms(self, token: bytes) -> set[str]:
+        words, whole = self.read(token)
+        return words | {whole[i : i + LONGEST] for i in range(len(whole))}
 
 
-def _beginnings(words: Iterable[str]) -> set[str]:
-    out = set()
+def _beginnings(words: Iterable[str], whole: str = "") -> Iterator[str]:
+    """Beginnings of words, and of what follows each letter of `whole`, one by one and with repeats."""
     for word in words:
-        out.add(word + "$")
-        out.update(word[:n] for n in BEGINNINGS if len(word) >= n)
-    return out
+        yield word + "$"
+        for n in BEGINNINGS:
+            if len(word) >= n:
+                yield word[:n]
+    for n in BEGINNINGS:
+        for i in range(len(whole) - n + 1):
+            yield whole[i : i + n]
+    for i in range(max(0, len(whole) - LONGEST), len(whole)):
+        yield whole[i:] + "$"
 
 
 class Scorer:
@@ -221,11 +248,11 @@ class Scorer:
         self.remembered: dict[bytes, float] = {}
 
     def _weigh(self, token: bytes) -> float:
-        found = [max((self.weights.get(b, 0.0) for b in _beginnings([word])), default=0.0) for word in self.vocabulary.forms(token)]
-        weight = max(found, default=0.0)
+        weight = max((self.weights.get(b, 0.0) for b in _beginnings(*self.vocabulary.read(token))), default=0.0)
         if len(self.remembered) >= REMEMBERED:
             self.remembered.clear()
-        self.remembered[token] = weight
+        if len(token) <= SHORT:
+            self.remembered[token] = weight
         return weight
 
     def evidence(self, blobs: list[bytes]) -> np.ndarray:
@@ -256,15 +283,33 @@ class Scorer:
 def learn(blobs: list[bytes], y: np.ndarray, model: np.ndarray, prior: float) -> Scorer:
     """Weights of beginnings, then the logistic function over the texts' evidence."""
     vocabulary = Vocabulary(Reader(model))
+    read: dict[bytes, tuple[set[str], str]] = {}
+
+    def rows(of) -> Iterator[tuple[int, list]]:
+        """Each row's place and what `of` makes of its tokens, once for each token."""
+        made: dict[bytes, object] = {}
+        for part in portions(blobs):
+            doc, kind, tokens = _tokens(Words(blobs[part], SPACED))
+            own = [made[t] if t in made else made.setdefault(t, of(t)) for t in tokens]
+            for d in range(part.stop - part.start):
+                yield part.start + d, [own[k] for k in kind[np.searchsorted(doc, d) : np.searchsorted(doc, d, "right")]]
+
+    def buckets(token: bytes) -> np.ndarray:
+        read[token] = vocabulary.read(token)
+        return np.fromiter((hash(b) % BUCKETS for b in _beginnings(*read[token])), np.int32)
+
+    # A beginning of too few toxic rows carries no weight. A row of many letters set apart has as many of them, so
+    # toxic rows are counted in buckets first, and only beginnings of full buckets are kept.
+    toxic_rows = np.zeros(BUCKETS, np.uint8)
+    for i, own in rows(buckets):
+        if y[i] == 1 and own:
+            seen = np.unique(np.concatenate(own))
+            toxic_rows[seen] = np.minimum(toxic_rows[seen] + 1, LEAST_ROWS)
+    full = (toxic_rows >= LEAST_ROWS).tobytes()
     counts: dict[str, list[int]] = {}
-    forms: dict[bytes, set[str]] = {}
-    for part in portions(blobs):
-        doc, kind, tokens = _tokens(Words(blobs[part], SPACED))
-        own_forms = [forms[t] if t in forms else forms.setdefault(t, _beginnings(vocabulary.forms(t))) for t in tokens]
-        for d in range(part.stop - part.start):
-            label = int(y[part.start + d])
-            for b in set().union(*(own_forms[k] for k in kind[np.searchsorted(doc, d) : np.searchsorted(doc, d, "right")])) if len(doc) else ():
-                counts.setdefault(b, [0, 0])[label] += 1
+    for i, own in rows(lambda token: {b for b in _beginnings(*read[token]) if full[hash(b) % BUCKETS]}):
+        for b in set().union(*own):
+            counts.setdefault(b, [0, 0])[int(y[i])] += 1
     n = np.array([np.sum(y == 0), np.sum(y == 1)], float)
     weights = {}
     for b, (other, toxic) in counts.items():

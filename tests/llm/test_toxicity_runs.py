@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pytest
 from corpora import frame
@@ -53,3 +55,47 @@ def test_whole_query_scores_spaced_words(spark):
     labels = spark.createDataFrame([(i, int(i >= 60)) for i in range(120)], "doc_id long, toxic int")
     got = {r.doc_id: r.score for r in toxicity.scores(docs, toxicity.fit(docs, labels)).where("doc_id >= 1000").collect()}
     assert got[1000] > 0.5 > got[1001]
+
+
+def plain_read(reader, token):
+    """Viterbi decoding that keeps every path whole."""
+    states = {(0, 0, ""): (0.0, "")}
+    for c in token:
+        new = {}
+        for (a, b, last), (price, text) in states.items():
+            for written, cost in reader._options(c, last):
+                state, total, longer = (a, b, last), price + cost, text + written
+                if written:
+                    s = 0 if written == " " else toxicity._symbol(written)
+                    total -= reader.model[a][b][s]
+                    state = (b, s, written if s else "")
+                if state not in new or (total, longer) < new[state]:
+                    new[state] = (total, longer)
+        states = new
+    return min((price - reader.model[a][b][0], text) for (a, b, _), (price, text) in states.items())[1]
+
+
+def test_long_readings_equal_whole_paths(model, monkeypatch):
+    monkeypatch.setattr(toxicity, "SETTLE", 8)
+    rng = np.random.default_rng(3)
+    for a in (model, np.log(rng.dirichlet(np.ones(28), (28, 28)))):
+        reader = toxicity.Reader(a)
+        for letters in ("aab ", "idot1 0", "aaaa-", "ab*c.e$", "etaoin shrdlu", "é1|a "):
+            for n in (0, 1, 8, 9, 200, 500):
+                token = "".join(rng.choice(list(letters), n))
+                assert reader.read(token) == plain_read(reader, token)
+
+
+def test_long_runs_are_scored_and_learned_in_bounded_memory(model, scorer):
+    rng = np.random.default_rng(4)
+    letters = " ".join(rng.choice(list("bcdfghjklmnpqrvwxyz"), 20000))
+    blobs, y = sample()
+    tracemalloc.start()
+    try:
+        scores = scorer.score([f"{letters} open".encode(), f"{letters} i d i o t {letters}".encode()])
+        learned = toxicity.learn([*blobs, letters.encode()], np.append(y, 1.0), model, 0.5)
+        assert tracemalloc.get_traced_memory()[1] < 120e6
+    finally:
+        tracemalloc.stop()
+    assert scores[0] < scores[1]
+    assert {"idio", "scum$"} <= set(learned.weights)
