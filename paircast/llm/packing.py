@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from paircast.llm.common import partitions, record
-from paircast.llm.tokens import encode
+from paircast.llm.tokens import encode_whole
 from paircast.session import stored
 
 CAPACITY = 2048
@@ -47,7 +47,7 @@ def _cut(tokenizer: str, end_id: int, capacity: int):
         for batch in batches:
             rows: dict[str, list] = {f.name: [] for f in _PIECES}
             for doc_id, text in zip(batch.column("doc_id").cast(pa.int64()).to_pylist(), batch.column("text").to_pylist()):
-                ids = encode(tokenizer, text) + end
+                ids = encode_whole(tokenizer, text) + end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     own = ids[at : at + 4 * capacity]
                     for name, value in zip(rows, (doc_id, piece, at // 4, len(own) // 4, zlib.crc32(own))):

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from paircast.llm.common import partitions, record
 from paircast.llm.elias_fano import EliasFano
-from paircast.llm.tokens import encode
+from paircast.llm.tokens import encode_whole
 from paircast.session import scratch_path, stored
 
 MAGIC = b"PCTOKEN1"
@@ -111,7 +111,7 @@ def _write(folder: str, tokenizer: str, end_id: int, width: int, file_ids: int):
             for doc_id, text in zip(batch.column("doc_id").cast(pa.int64()).to_pylist(), batch.column("text").to_pylist()):
                 if out is None:
                     out = Writer(f"{folder}/{part:07d}-{len(done):05d}-{uuid.uuid4().hex}.bin", width)
-                out.add(doc_id, np.frombuffer(encode(tokenizer, text) + end, "<u4"))
+                out.add(doc_id, np.frombuffer(encode_whole(tokenizer, text) + end, "<u4"))
                 if out.bounds[-1] >= file_ids:
                     out.close()
                     done.append(out)

@@ -6,7 +6,8 @@ break between two plain characters, or before the first full stop or comma
 after a letter or digit, has the ids of its pieces one after the other. The pieces repeat, so each worker
 remembers the ids of those it has seen (bounded, emptied when full). Places
 that are not plain (runs of spaces, other scripts' spaces, combining marks)
-are never cut. Special tokens written out in a text are ordinary text.
+are never cut. Special tokens written out in a text are their one id, as by the
+library's defaults, and what stands between them is encoded as texts of its own.
 """
 
 from __future__ import annotations
@@ -33,6 +34,11 @@ class _Ids(dict):
     def __init__(self, tokenizer: Tokenizer) -> None:
         super().__init__()
         self.tokenizer = tokenizer
+        added = tokenizer.get_added_tokens_decoder()
+        if any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added.values()):
+            raise ValueError("added tokens are only supported where they match a text as it is written")
+        self.special = {t.content: i.to_bytes(4, "little") for i, t in added.items()}
+        self.parting = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         # Where neither case nor white space leaves a trace in the ids, pieces that differ in them only are one.
         self.folds = len({tuple(tokenizer.encode(t, add_special_tokens=False).ids) for t in ("ab", "Ab", " aB", "\nAB")}) == 1
 
@@ -47,12 +53,13 @@ class _Ids(dict):
 @lru_cache(maxsize=2)
 def _ids(path: str) -> _Ids:
     tokenizer = Tokenizer.from_file(path)
+    # For pieces between special tokens: in lower case, one may look like a special token and is none.
     tokenizer.encode_special_tokens = True
     return _Ids(tokenizer)
 
 
 def encode(path: str, text: str | None) -> bytes:
-    """The ids of a text as little-endian unsigned 32-bit integers; null is empty."""
+    """The ids of a text without special tokens as little-endian unsigned 32-bit integers; null is empty."""
     if not text:
         return b""
     ids = _ids(path)
@@ -63,3 +70,11 @@ def encode(path: str, text: str | None) -> bytes:
     else:
         pieces = _PIECES.findall(text)
     return b"".join(map(ids.__getitem__, pieces))
+
+
+def encode_whole(path: str, text: str | None) -> bytes:
+    """The same for any text: special tokens written out in it are their one id each."""
+    special = _ids(path).special
+    if not text or not any(content in text for content in special):
+        return encode(path, text)
+    return b"".join(special[part] if part in special else encode(path, part) for part in _ids(path).parting.split(text))
