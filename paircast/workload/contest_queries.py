@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from paircast.constants import H2H_DEFAULTS, STANDINGS_DEFAULTS
+from paircast.constants import FORM_COLUMNS, H2H_DEFAULTS, ROLLED_STATS, STANDINGS_DEFAULTS
 from paircast.operators import games as G
 from paircast.operators import ratings as R
 from paircast.operators.h2h import h2h_asof, h2h_latest
@@ -20,6 +20,7 @@ from paircast.operators.preparation import (
 from paircast.operators.standings import standings_asof, standings_at_date, with_standings
 from paircast.plans.contest_table import contest_columns, contest_table, matched_sides, side_features
 from paircast.operators.form import form_features
+from paircast.session import stored
 from paircast.workload import tables as T
 from paircast.workload.log_queries import FORM_SQL, FLAGS, _READY
 from paircast.workload.registry import i8, query, r6, tidy
@@ -264,9 +265,16 @@ _DEFAULTED = ("roll_avg_pts", "win_streak", "recent_form", "days_rest", "pts_rol
     f"{r6('coalesce(days_rest, 2)', 'days_rest')}, {r6('coalesce(pts_roll_mean, 0)', 'pts_roll_mean')} FROM form",
 )
 def defaults(spark, sf_dir):
-    rows = form_features(T.game_log(spark, sf_dir), stats=("pts",), ewm=False)
+    return tidy(defaulted(spark, sf_dir), "game_id", "team_id", *_DEFAULTED)
+
+
+def defaulted(spark, sf_dir):
+    """Every form column with its default where it is missing, stored, so that all of them are computed."""
+    rows = form_features(G.advanced_metrics(G.four_factors(T.game_log(spark, sf_dir))))
+    rolled = [f"{s}_{kind}" for s in ROLLED_STATS for kind in ("roll_mean", "roll_std", "ewm")]
     value = lambda c: F.coalesce(F.col(c), F.lit(default_for(c))) if c in rows.columns else F.lit(default_for(c))
-    return tidy(rows.select("game_id", "team_id", *[value(c).alias(c) for c in _DEFAULTED]))
+    names = dict.fromkeys([*_DEFAULTED, *rolled, *FORM_COLUMNS])
+    return stored(rows.select("game_id", "team_id", *[value(c).alias(c) for c in names]), "defaulted")
 
 
 SPLIT_SQL = f"""{T.CONTESTS_SQL},

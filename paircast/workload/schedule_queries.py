@@ -9,7 +9,9 @@ from paircast.operators import history as H
 from paircast.operators.form import form_features
 from paircast.operators.schedule import all_finished, scoreboard_status
 from paircast.plans.contest_table import matched_sides
+from paircast.session import scratch_path, stored
 from paircast.sources import payloads as J
+from paircast.sources.files import write_by_season
 from paircast.streaming import incremental as I
 from paircast.workload import tables as T
 from paircast.workload.history_queries import RESULTS_SQL, _results
@@ -267,19 +269,29 @@ def union_log(spark, sf_dir):
     return tidy(old.unionByName(new, allowMissingColumns=True), "game_id", "team_id", "plus_minus")
 
 
-def _replace(name: str):
-    @query(
-        name,
-        f"WITH {T.LOG_SQL} SELECT {i8('game_id')}, {i8('team_id')}, season, {i8(f"CASE WHEN season = '{SEASON}' THEN pts + 1 ELSE pts END", 'pts')} FROM log WHERE season <> '{SEASON}' OR game_id % 2 = 0",
-    )
-    def run(spark, sf_dir):
-        log = T.game_log(spark, sf_dir)
-        fresh = log.filter("game_id % 2 = 0").withColumn("pts", F.col("pts") + 1)
-        return tidy(I.replace_season(log, fresh, SEASON), "game_id", "team_id", "season", "pts")
+_REPLACED_SQL = f"WITH {T.LOG_SQL} SELECT {i8('game_id')}, {i8('team_id')}, season, {i8(f"CASE WHEN season = '{SEASON}' THEN pts + 1 ELSE pts END", 'pts')} FROM log WHERE season <> '{SEASON}' OR game_id % 2 = 0"
+_REPLACED = ("game_id", "team_id", "season", "pts")
+
+
+def _log_and_fresh(spark, sf_dir):
+    log = T.game_log(spark, sf_dir)
+    return log, log.filter("game_id % 2 = 0").withColumn("pts", F.col("pts") + 1)
 
 
-_replace("season_replace")
-_replace("incr_season_refresh")
+@query("season_replace", _REPLACED_SQL)
+def season_replace(spark, sf_dir):
+    return tidy(I.replace_season(*_log_and_fresh(spark, sf_dir), SEASON), *_REPLACED)
+
+
+@query("incr_season_refresh", _REPLACED_SQL)
+def incr_season_refresh(spark, sf_dir):
+    """The stored log with one season's folder overwritten."""
+    log, fresh = _log_and_fresh(spark, sf_dir)
+    path = scratch_path(spark, "log-by-season")
+    write_by_season(log, path, replace_all=True)
+    write_by_season(fresh.filter(F.col("season") == SEASON), path)
+    return tidy(spark.read.schema(log.schema).parquet(path), *_REPLACED)
+
 
 MARK = "1998-06-01"
 # Only the first ten teams have rows after the mark.
@@ -287,18 +299,41 @@ _PARTIAL_LOG = FORM_SQL.replace("FROM rich)", f"FROM rich WHERE game_date <= DAT
 _INCR_SHOWN = ("pts_roll_mean", "win_streak", "days_rest")
 
 
-def _incremental(name: str):
-    @query(name, f"WITH {_PARTIAL_LOG} SELECT {i8('game_id')}, {i8('team_id')}, {', '.join(r6(c) for c in _INCR_SHOWN)} FROM form")
-    def run(spark, sf_dir):
-        log = T.game_log(spark, sf_dir).filter(f"game_date <= date'{MARK}' or team_id < 10")
-        old = log.filter(f"game_date <= date'{MARK}'")
-        options = {"stats": ("pts",), "ewm": False}
-        cached = form_features(G.advanced_metrics(G.four_factors(old)), **options)
-        return tidy(I.refresh_features(cached, log, MARK, **options), "game_id", "team_id", *_INCR_SHOWN)
+_INCR_SQL = f"WITH {_PARTIAL_LOG} SELECT {i8('game_id')}, {i8('team_id')}, {', '.join(r6(c) for c in _INCR_SHOWN)} FROM form"
+
+
+def _partial_log(spark, sf_dir):
+    """The log with all rows, and the form columns of its rows up to the mark."""
+    log = T.game_log(spark, sf_dir).filter(f"game_date <= date'{MARK}' or team_id < 10")
+    return log, form_features(G.advanced_metrics(G.four_factors(log.filter(f"game_date <= date'{MARK}'"))))
+
+
+def refreshed(spark, sf_dir):
+    """All form columns, stored, so that also those are computed which a query does not show."""
+    log, old = _partial_log(spark, sf_dir)
+    return stored(I.refresh_features(stored(old, "features"), log, MARK), "refreshed")
+
+
+def refreshed_in_place(spark, sf_dir):
+    """The same as a table by season, where only seasons with rows after the mark are overwritten."""
+    log, old = _partial_log(spark, sf_dir)
+    path = scratch_path(spark, "features-by-season")
+    write_by_season(old, path, replace_all=True)
+    cached = spark.read.schema(old.schema).parquet(path)
+    changed = I.after(log, MARK).select("season").distinct()
+    # The slice is read from the table that it overwrites, so it is stored first.
+    write_by_season(stored(I.refresh_features(cached, log, MARK).join(changed, "season", "left_semi"), "slice"), path)
+    return spark.read.schema(old.schema).parquet(path)
+
+
+@query("feature_refresh", _INCR_SQL)
+def feature_refresh(spark, sf_dir):
+    return tidy(refreshed(spark, sf_dir), "game_id", "team_id", *_INCR_SHOWN)
 
 
-_incremental("feature_refresh")
-_incremental("incr_features")
+@query("incr_features", _INCR_SQL)
+def incr_features(spark, sf_dir):
+    return tidy(refreshed_in_place(spark, sf_dir), "game_id", "team_id", *_INCR_SHOWN)
 
 
 @query(
