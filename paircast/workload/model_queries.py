@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import lru_cache
 
 from pyspark.sql import functions as F
@@ -14,37 +15,37 @@ from paircast.operators.odds import odds_features, odds_keyed
 from paircast.operators.preparation import chronological_split, feature_columns, top_features
 from paircast.operators.standings import standings_at_date
 from paircast.plans import training as M
-from paircast.plans.contest_table import matched_sides
+from paircast.plans.contest_table import contest_columns, contest_table, matched_sides
 from paircast.plans.serving import predict_schedule
 from paircast.workload import tables as T
 from paircast.workload.log_queries import FORM_SQL, MEAN_SQL, STD_SQL
 from paircast.workload.registry import i8, query, r6, tidy
 
-# Small settings: they bound the time of a fit, not the rows it sees.
+#: The statistics that the SQL of scale_features needs.
 STATS = ("pts", "efg_pct", "tov_pct", "reb")
-PARAMS = {
-    "boosted_trees": {"rounds": 10, "step": 0.1},
-    "random_forest": {"first_trees": 10, "first_depth": 5, "trees": 15, "depth": 6, "top": 20},
-    "logistic": {"iterations": 50},
-    "perceptron": {"layers": (16, 8), "iterations": 20},
-}
+ALL = tuple(M.DEFAULT_ARCHITECTURES)
 
 
-def _form(spark, sf_dir):
-    log = advanced_metrics(four_factors(T.game_log(spark, sf_dir)))
-    return form_features(log, stats=STATS, ewm=False)
+def _rich(spark, sf_dir):
+    return advanced_metrics(four_factors(T.game_log(spark, sf_dir)))
 
 
 @lru_cache(maxsize=2)
 def _prepared(spark, sf_dir):
     """Training rows, stored once per session in the shared folder."""
-    rows = M.prepare(matched_sides(_form(spark, sf_dir)))
-    return rows, [c for c in feature_columns(rows.columns) if c.startswith(("home_", "away_"))]
+    rows = M.prepare(contest_table(T.stored_log(spark, sf_dir), T.conference()))
+    return rows, feature_columns(contest_columns())
 
 
-def _ensemble(spark, sf_dir, *names):
+@lru_cache(maxsize=8)
+def _trained(spark, sf_dir, *names):
     rows, features = _prepared(spark, sf_dir)
-    return M.train_ensemble(rows, features, list(names), params=PARAMS)
+    return M.train_ensemble(rows, features, list(names))
+
+
+def _ensemble(spark, sf_dir, *names):
+    """The models with the defaults of plans/training.py, fitted once per session; stacking changes only the copy."""
+    return replace(_trained(spark, sf_dir, *names))
 
 
 _SIDE_MEANS = ("home_pts_roll_mean", "away_pts_roll_mean", "home_pts_roll_std", "home_recent_form")
@@ -61,7 +62,7 @@ _z = lambda c: f"({c} - (SELECT avg({c}) FROM split WHERE is_train)) / (SELECT s
 
 @query("scale_features", f"WITH {MATCHED_SMALL_SQL} SELECT {i8('game_id')}, {', '.join(r6(_z(c), c) for c in _SIDE_MEANS)} FROM split")
 def scale_features(spark, sf_dir):
-    rows = chronological_split(matched_sides(_form(spark, sf_dir)))
+    rows = chronological_split(matched_sides(form_features(_rich(spark, sf_dir), stats=STATS, ewm=False)))
     scaled = M.population_scaled(rows.filter("not is_test"), rows, list(_SIDE_MEANS))
     return tidy(scaled, "game_id", *_SIDE_MEANS)
 
@@ -83,8 +84,6 @@ for _name, _architecture in (
 ):
     _train_query(_name, _architecture)
 
-ALL = tuple(M.DEFAULT_ARCHITECTURES)
-
 
 @query("train_ensemble")
 def train_ensemble(spark, sf_dir):
@@ -105,7 +104,7 @@ def evaluate_ensemble(spark, sf_dir):
 def _stacked(spark, sf_dir):
     rows, _ = _prepared(spark, sf_dir)
     held_out = rows.filter("is_test")
-    ensemble = M.train_stacking(_ensemble(spark, sf_dir, "random_forest", "logistic"), held_out, iterations=50)
+    ensemble = M.train_stacking(_ensemble(spark, sf_dir, *ALL), held_out)
     return M.score(held_out, ensemble)
 
 
@@ -113,7 +112,7 @@ def _stacked(spark, sf_dir):
 def stacking(spark, sf_dir):
     rows, _ = _prepared(spark, sf_dir)
     held_out = rows.filter("is_test")
-    trained = M.train_stacking(_ensemble(spark, sf_dir, "random_forest", "logistic"), held_out, iterations=50)
+    trained = M.train_stacking(_ensemble(spark, sf_dir, *ALL), held_out)
     plain = M.Ensemble(trained.architectures, trained.models, trained.features, meta=trained.meta)
     return tidy(M.score(held_out, plain), "game_id", "home_win", "stacked_prob")
 
@@ -141,11 +140,11 @@ def predictions_of_schedule(spark, sf_dir):
     predicted = predict_schedule(
         T.schedule(spark, sf_dir),
         T.teams(spark, sf_dir),
-        _form(spark, sf_dir),
+        form_features(_rich(spark, sf_dir), ewm=False),
         valid_contests(log),
         standings_at_date(log, "2100-01-01", T.conference()),
         odds,
-        _ensemble(spark, sf_dir, "logistic"),
+        _ensemble(spark, sf_dir, *ALL),
     )
     return tidy(predicted, "game_date", "place", "game_id", "home_team", "away_team", "predicted_winner", "home_win_prob", "confidence", "tier", "match_kind")
 
