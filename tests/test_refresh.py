@@ -16,8 +16,8 @@ EWM = [f"{s}_ewm" for s in ROLLED_STATS]
 EWM_SQL = f"SELECT c.game_id, c.team_id, {', '.join(f'{_ewm_sum(s)} AS {s}_ewm' for s in ROLLED_STATS)} FROM seq c LEFT JOIN seq p ON p.team_id = c.team_id AND p.rn BETWEEN c.rn - 250 AND c.rn - 1 GROUP BY c.game_id, c.team_id"
 
 
-def all_columns(form_sql, value):
-    shown = [i8(value(c), c) if c in FLAGS else r6(value(c), c) for c in (*FORM, *EWM)]
+def all_columns(form_sql, value, flags=FLAGS):
+    shown = [i8(value(c), c) if c in flags else r6(value(c), c) for c in (*FORM, *EWM)]
     return f"WITH {form_sql}, means AS ({EWM_SQL}) SELECT {i8('game_id')}, {i8('team_id')}, {', '.join(shown)} FROM form JOIN means USING (game_id, team_id)"
 
 
@@ -34,7 +34,7 @@ def test_every_refreshed_column(spark, con, sf_dir, refresh):
 
 def test_every_default(spark, con, sf_dir):
     run = lambda spark, sf_dir: tidy(contest_queries.defaulted(spark, sf_dir), "game_id", "team_id", *FORM, *EWM)
-    assert difference(spark, con, sf_dir, run, all_columns(FORM_SQL, lambda c: f"coalesce({c}, {default_for(c)})")) is None
+    assert difference(spark, con, sf_dir, run, all_columns(FORM_SQL, lambda c: f"coalesce({c}, {default_for(c)})", ())) is None
 
 
 @pytest.mark.parametrize("name", ["feature_refresh", "incr_features", "season_replace", "incr_season_refresh", "feature_defaults"])
