@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from paircast.llm import decontaminate, fingerprints, language, licenses, ngram_join, packing, quality, suffix_dedup, token_files, toxicity
+from paircast.llm import decontaminate, filter_audit, fingerprints, harmonic, infill, language, licenses, ngram_join, packing, quality, suffix_dedup, token_files, toxicity
 from paircast.llm.common import held_out, read
 from paircast.llm.oracles import SQL
 
@@ -69,11 +69,23 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(read(spark, sf_dir, "documents")).drop("matches")
 
 
+def op11_harmonic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return harmonic.harmonic_sequences(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.infill_digests(read(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.interaction_audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_fingerprints, op2_pack, op3_ngram_join, op4_suffix_dedup, op5_language, op6_token_files, op7_quality, op8_toxicity, op9_decontaminate, op10_license_scan, pipeline)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_fingerprints, op2_pack, op3_ngram_join, op4_suffix_dedup, op5_language, op6_token_files, op7_quality, op8_toxicity, op9_decontaminate, op10_license_scan, op11_harmonic, op12_infill, op13_filter_audit, pipeline)}
 ORACLES: dict[str, str] = dict(SQL)
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -4,8 +4,10 @@ Both public BPE files cut a text at white space, and between letters or digits
 and marks, before they merge. So a text cut before a single space or line
 break between two plain characters, or before the first full stop or comma
 after a letter or digit, has the ids of its pieces one after the other. The pieces repeat, so each worker
-remembers the ids of those it has seen (bounded, emptied when full). Places
-that are not plain (runs of spaces, other scripts' spaces, combining marks)
+remembers the ids of those it has seen: two generations of a bounded size, of
+which the older one goes when the newer is full. Where neither case nor white
+space leaves a trace in the ids, the pieces are simply the words, and letters
+not seen before are encoded many at a time. Places that are not plain (runs of spaces, other scripts' spaces, combining marks)
 are never cut. Special tokens written out in a text are their one id, as by the
 library's defaults, and what stands between them is encoded as texts of its own.
 """
@@ -13,6 +15,8 @@ library's defaults, and what stands between them is encoded as texts of its own.
 from __future__ import annotations
 
 import re
+import sys
+from array import array
 from functools import lru_cache
 
 from tokenizers import Tokenizer
@@ -21,11 +25,18 @@ _SAFE = "!-~¡-ɏ"
 #: Something that the plain cut must not meet.
 _ODD = re.compile(f"(?:^|[ \n])(?=[ \n]|$)|[^ \n{_SAFE}]|İ|(?<![A-Za-z0-9À-ÖØ-öø-ɏ.,])[.,]")
 _PIECES = re.compile(r"[ \n]?[^ \n.,]+|[.,][^ \n]*")
-#: The same without the white space before a piece.
-_BARE = re.compile(r"[^ \n.,]+|[.,][^ \n]*")
+#: What a text of words must not hold to be cut at white space, and the same for ASCII.
+_UNPLAIN = re.compile(f"[^ \n{_SAFE}]|İ")
+_ASCII = bytes([10, *range(32, 127)])
+#: Letters and the stops after them, which are encoded apart.
+_STOPPED = re.compile("([^\\W\\d_]+)([.,]+)")
 _CUT = re.compile(f"(?<=[{_SAFE}])(?=[ \n][{_SAFE}])")
-#: Pieces remembered by a worker, at most.
-REMEMBERED = 3 << 19
+#: Pieces in one of the two generations that a worker remembers: about 65 MB.
+REMEMBERED = 400_000
+
+
+def _packed(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes() if sys.byteorder == "little" else b"".join(i.to_bytes(4, "little") for i in ids)
 
 
 class _Ids(dict):
@@ -42,13 +53,48 @@ class _Ids(dict):
         # Where neither case nor white space leaves a trace in the ids, pieces that differ in them only are one.
         self.folds = len({tuple(tokenizer.encode(t, add_special_tokens=False).ids) for t in ("ab", "Ab", " aB", "\nAB")}) == 1
 
-    def __missing__(self, piece: str) -> bytes:
-        ids = b"".join(i.to_bytes(4, "little") for i in self.tokenizer.encode(piece, add_special_tokens=False).ids)
+        self.older: dict[str, bytes] = {}
+        #: Ids that end a word, for words encoded together.
+        self.last = {i for token, i in tokenizer.get_vocab().items() if token.endswith("</w>")}
+
+    def keep(self, piece: str, ids: bytes) -> bytes:
         if len(self) >= REMEMBERED:
+            self.older = dict(self)
             self.clear()
         self[piece] = ids
         return ids
 
+    def __missing__(self, piece: str) -> bytes:
+        if piece in self.older:
+            return self.keep(piece, self.older[piece])
+        return self.keep(piece, _packed(self.tokenizer.encode(piece, add_special_tokens=False).ids))
+
+    def of_words(self, words: list[str]) -> bytes:
+        found = list(map(self.get, words))
+        if None in found:
+            for at in [i for i, ids in enumerate(found) if ids is None]:
+                found[at] = self.older.get(words[at])
+            fresh = {w for w, ids in zip(words, found) if ids is None}
+            own = self._encoded(fresh)
+            for w, ids in zip(words, found):
+                if ids is None:
+                    ids = own[w]
+                if w not in self:
+                    self.keep(w, ids)
+            found = [own[w] if ids is None else ids for w, ids in zip(words, found)]
+        return b"".join(found)
+
+    def _encoded(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of words: letters together, with stops after them apart, the rest one by one."""
+        parted = {w: m.groups() if (m := _STOPPED.fullmatch(w)) else (w, "") for w in words}
+        letters = [c for c in {c for c, _ in parted.values()} if c.isalpha() and c not in self]
+        ids = self.tokenizer.encode(" ".join(letters), add_special_tokens=False).ids if letters else []
+        ends = [i + 1 for i, one in enumerate(ids) if one in self.last]
+        own = {}
+        if len(ends) == len(letters):
+            own = {c: _packed(ids[a:b]) for c, a, b in zip(letters, [0, *ends], ends)}
+        return {w: (own[c] if c in own else self[c]) + (self[stops] if stops else b"") for w, (c, stops) in parted.items()}
+
 
 @lru_cache(maxsize=2)
 def _ids(path: str) -> _Ids:
@@ -63,10 +109,13 @@ def encode(path: str, text: str | None) -> bytes:
     if not text:
         return b""
     ids = _ids(path)
-    if _ODD.search(text):
+    if ids.folds:
+        if text.encode().translate(None, _ASCII) if text.isascii() else _UNPLAIN.search(text):
+            pieces = _CUT.split(text)
+        else:
+            return ids.of_words(text.lower().split())
+    elif _ODD.search(text):
         pieces = _CUT.split(text)
-    elif ids.folds:
-        pieces = _BARE.findall(text.lower())
     else:
         pieces = _PIECES.findall(text)
     return b"".join(map(ids.__getitem__, pieces))
