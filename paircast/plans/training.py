@@ -5,16 +5,19 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier,
     LogisticRegression,
     MultilayerPerceptronClassifier,
+    RandomForestClassificationModel,
     RandomForestClassifier,
 )
-from pyspark.ml.feature import StandardScaler, VectorAssembler, VectorSlicer
+from pyspark.ml.feature import ElementwiseProduct, StandardScaler, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from paircast.functions.prediction import (
@@ -27,7 +30,7 @@ from paircast.functions.prediction import (
 from paircast.operators.evalmetrics import with_class_weights
 from paircast.operators.preparation import chronological_split, feature_columns, recency_weight
 from paircast.session import cut_lineage
-from paircast.sources.files import exists
+from paircast.sources.files import exists, once
 
 LABEL, SCALED, WEIGHT = "home_win", "scaled", "sample_weight"
 
@@ -37,6 +40,10 @@ FOREST_PARAMS = {
     "trees": 500, "depth": 30, "leaf": 5, "top": 40,
     "first_trees": 200, "first_depth": 10,
 }  # Spark caps the depth at 30
+#: Trees of a forest that are grown in one fit, and fits at a time.
+GROVE, GROVES_AT_ONCE = 50, 8
+#: Rows of a partition while trees grow: every partition has counts for every open node.
+GROWING_ROWS = 1 << 14
 LOGISTIC_PARAMS = {"c": 0.5, "iterations": 1000}
 PERCEPTRON_PARAMS = {"layers": (128, 64, 32), "iterations": 200}
 
@@ -55,21 +62,44 @@ def _boosted_trees(train: DataFrame, width: int, seed: int, params: dict) -> lis
     return [tree.fit(newest)]
 
 
+def _grown(rows: DataFrame, features: str, trees: int, seed: int, **settings) -> list:
+    """A forest as groves: forests of GROVE trees, grown side by side.
+
+    The levels of a forest follow each other, and one forest of all trees keeps
+    a few cores busy at a time. Rows remember their node of every tree, in a
+    lineage that is cut by checkpoints, so trees are not sent to tasks while
+    they grow.
+    """
+    sizes = [GROVE] * (trees // GROVE) + [trees % GROVE] * (trees % GROVE > 0)
+    n = rows.count()
+    dense = rows.select(features, LABEL, WEIGHT).coalesce(max(1, -(-n // GROWING_ROWS))).persist()
+
+    def fit(i: int):
+        return RandomForestClassifier(
+            featuresCol=features, labelCol=LABEL, weightCol=WEIGHT, numTrees=sizes[i], seed=seed + 1000 * i, cacheNodeIds=True, checkpointInterval=10,
+            probabilityCol=f"probability_{i}", rawPredictionCol=f"rawPrediction_{i}", predictionCol=f"prediction_{i}", **settings,
+        ).fit(dense)
+
+    with ThreadPool(GROVES_AT_ONCE) as pool:
+        groves = pool.map(fit, range(len(sizes)))
+    dense.unpersist()
+    return groves
+
+
+def _importances(groves: list) -> list[float]:
+    """Importances of a whole forest: each grove counts by its trees."""
+    trees = sum(g.getNumTrees for g in groves)
+    return [float(v) for v in sum(g.featureImportances.toArray() * (g.getNumTrees / trees) for g in groves)]
+
+
 def _forest(train: DataFrame, width: int, seed: int, params: dict) -> list:
     """A first forest ranks the features, the final one uses the best of them."""
     p = FOREST_PARAMS | params
-    common = {"labelCol": LABEL, "weightCol": WEIGHT, "seed": seed}
-    first = RandomForestClassifier(
-        featuresCol=SCALED, numTrees=p["first_trees"], maxDepth=p["first_depth"], **common
-    ).fit(train)
-    weights = first.featureImportances.toArray()
+    weights = _importances(_grown(train, SCALED, p["first_trees"], seed, maxDepth=p["first_depth"]))
     best = sorted(range(width), key=lambda i: (weights[i], i), reverse=True)[: p["top"]]
     slicer = VectorSlicer(inputCol=SCALED, outputCol="best", indices=[int(i) for i in best])
-    final = RandomForestClassifier(
-        featuresCol="best", numTrees=p["trees"], maxDepth=p["depth"], minInstancesPerNode=p["leaf"],
-        featureSubsetStrategy="sqrt", **common,
-    ).fit(slicer.transform(train))
-    return [slicer, final]
+    final = _grown(slicer.transform(train), "best", p["trees"], seed, maxDepth=p["depth"], minInstancesPerNode=p["leaf"], featureSubsetStrategy="sqrt")
+    return [slicer, *final]
 
 
 def balanced_logistic(rows: DataFrame, features: str, c: float, iterations: int, balanced: bool = True):
@@ -120,41 +150,46 @@ def trainer(name: str) -> Fit:
     return TRAINERS[key]
 
 
-def prepare(contests: DataFrame, test_size: float = 0.2, decay: float = 1.2) -> DataFrame:
-    """Split by time, weigh by recency, and store the rows the models share."""
+def training_rows(contests: DataFrame, test_size: float = 0.2, decay: float = 1.2) -> DataFrame:
+    """Split by time and weigh by recency; all numbers as doubles."""
     split = chronological_split(contests, test_size)
     weight = F.when(~F.col("is_test"), recency_weight(F.col("time_rank"), F.col("n_train"), decay))
     numeric = {c: F.col(c).cast("double") for c in [*feature_columns(contests.columns), LABEL]}
-    return cut_lineage(split.withColumn(WEIGHT, weight).withColumns(numeric))
+    return split.withColumn(WEIGHT, weight).withColumns(numeric)
+
+
+def prepare(contests: DataFrame, test_size: float = 0.2, decay: float = 1.2) -> DataFrame:
+    """The training rows, stored, since all models share them."""
+    return cut_lineage(training_rows(contests, test_size, decay))
+
 
+def fit_scaler(train: DataFrame, features: list[str]) -> PipelineModel:
+    """Assemble and standardise by the mean and population deviation of the training rows.
 
-def scaler(features: list[str]) -> Pipeline:
-    """Assemble and standardise; fitted on training rows only."""
+    Spark's scaler divides by the sample deviation, a constant factor away; a
+    constant column is only centred.
+    """
+    n = train.count()
+    factor = (n / (n - 1)) ** 0.5 if n > 1 else 1.0
     return Pipeline(
         stages=[
             VectorAssembler(inputCols=features, outputCol="raw", handleInvalid="error"),
-            StandardScaler(inputCol="raw", outputCol=SCALED, withMean=True, withStd=True),
+            StandardScaler(inputCol="raw", outputCol="standard", withMean=True, withStd=True),
+            ElementwiseProduct(inputCol="standard", outputCol=SCALED, scalingVec=Vectors.dense([factor] * len(features))),
         ]
-    )
-
+    ).fit(train)
 
-def population_scaled(train: DataFrame, rows: DataFrame, features: list[str]) -> DataFrame:
-    """Columns standardised by the training mean and population deviation.
 
-    One aggregate over the training rows yields a single row of moments; a
-    constant column is only centred.
-    """
-    moments = train.agg(
-        *[F.avg(c).alias(f"m_{c}") for c in features], *[F.stddev_pop(c).alias(f"s_{c}") for c in features]
-    ).first()
-    spread = {c: moments[f"s_{c}"] or 1.0 for c in features}
-    return rows.withColumns({c: (F.col(c) - F.lit(moments[f"m_{c}"])) / F.lit(spread[c]) for c in features})
+def scaled_columns(rows: DataFrame, fitted: PipelineModel, features: list[str]) -> DataFrame:
+    """The features as the models see them, each in its own column."""
+    scaled = fitted.transform(rows).withColumn("_values", vector_to_array(SCALED))
+    return scaled.select(*[c for c in rows.columns if c not in features], *[F.col("_values")[i].alias(c) for i, c in enumerate(features)])
 
 
 def train_model(train: DataFrame, features: list[str], architecture: str, seed: int = 42, params: dict | None = None) -> PipelineModel:
     """One fitted chain from raw columns to a probability."""
     fit = trainer(architecture)
-    scaling = scaler(features).fit(train)
+    scaling = fit_scaler(train, features)
     stages = fit(scaling.transform(train), len(features), seed, params or {})
     return PipelineModel(stages=[*scaling.stages, *stages])
 
@@ -187,21 +222,52 @@ class Ensemble:
 DEFAULT_ARCHITECTURES = ["boosted_trees", "random_forest", "logistic", "perceptron"]
 
 
+def _seed_of(name: str, names: list[str], seed: int) -> int:
+    order = DEFAULT_ARCHITECTURES if name in DEFAULT_ARCHITECTURES else names
+    return seed + order.index(name)
+
+
 def train_ensemble(prepared: DataFrame, features: list[str], architectures: list[str] | None = None, seed: int = 42, params: dict | None = None) -> Ensemble:
+    """All models, fitted at the same time."""
     names = [ALIASES.get(a, a) for a in architectures or DEFAULT_ARCHITECTURES]
     train = prepared.filter("not is_test")
-    models = [
-        train_model(train, features, name, seed + i, (params or {}).get(name)) for i, name in enumerate(names)
-    ]
+    with ThreadPool(len(names)) as pool:
+        models = pool.map(lambda name: train_model(train, features, name, _seed_of(name, names, seed), (params or {}).get(name)), names)
     return Ensemble(names, models, features)
 
 
+def stored_ensemble(prepared: DataFrame, features: list[str], folder: str, architectures: list[str] | None = None, seed: int = 42, params: dict | None = None) -> Ensemble:
+    """An ensemble from models stored below the folder; those that are not there yet are fitted and stored.
+
+    The folder belongs to one table of training rows; settings name the model.
+    """
+    spark = prepared.sparkSession
+    names = [ALIASES.get(a, a) for a in architectures or DEFAULT_ARCHITECTURES]
+    train = prepared.filter("not is_test")
+
+    def stored_model(name: str) -> PipelineModel:
+        own = (params or {}).get(name)
+        settings = "".join(f"-{k}-{v}" for k, v in sorted((own or {}).items()))
+        fit = lambda path: train_model(train, features, name, _seed_of(name, names, seed), own).save(path)
+        return PipelineModel.load(once(spark, f"{folder}/model-{name}-{seed}{settings}", fit))
+
+    with ThreadPool(len(names)) as pool:
+        return Ensemble(names, pool.map(stored_model, names), features)
+
+
 def with_model_probs(rows: DataFrame, ensemble: Ensemble) -> DataFrame:
-    """One probability column per model, in a single pass over the rows."""
+    """One probability column per model, in a single pass over the rows; those already there stay."""
     out = rows
     for column, model in zip(ensemble.columns, ensemble.models):
-        made = ["raw", SCALED, "best", "rawPrediction", "probability", "prediction"]
-        out = model.transform(out).withColumn(column, vector_to_array("probability")[1]).drop(*made)
+        if column in rows.columns:
+            continue
+        scored = model.transform(out)
+        made = [c for c in scored.columns if c not in out.columns]
+        own = [c for c in made if c.startswith("probability")]
+        groves = [s.getNumTrees for s in model.stages if isinstance(s, RandomForestClassificationModel)]
+        shares = [n / sum(groves) for n in groves] or [1.0]
+        mean = sum((vector_to_array(c)[1] * share for c, share in zip(own, shares)), F.lit(0.0))
+        out = scored.withColumn(column, mean).drop(*made)
     return out
 
 
@@ -271,7 +337,8 @@ def feature_importance(model: PipelineModel, features: list[str], spark: SparkSe
     """Importance per feature of a tree model; one row per feature."""
     slices = [s for s in model.stages if isinstance(s, VectorSlicer)]
     used = [features[i] for i in slices[0].getIndices()] if slices else features
-    values = model.stages[-1].featureImportances.toArray()
+    trees = [s for s in model.stages if hasattr(s, "featureImportances")]
+    values = _importances(trees)
     index = {name: i for i, name in enumerate(features)}
     rows = [(name, index[name], float(v)) for name, v in zip(used, values)]
     return spark.createDataFrame(rows, "feature string, feature_index int, importance double")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from paircast.operators.history import as_flag, new_rows
@@ -15,6 +18,31 @@ def exists(spark: SparkSession, path: str) -> bool:
     return location.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(location)
 
 
+def once(spark: SparkSession, folder: str, write: Callable[[str], None]) -> str:
+    """The path of a finished result below the folder; `write(path)` makes it if there is none.
+
+    Every attempt has a path of its own and is marked when it is whole, so
+    neither a lost driver nor two of them at once leave half a result to others.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    marks = jvm.org.apache.hadoop.fs.Path(f"{folder}/*/_done")
+    system = marks.getFileSystem(conf)
+    found = sorted(str(status.getPath().getParent()) for status in system.globStatus(marks) or [])
+    if found:
+        return found[0]
+    path = system.makeQualified(jvm.org.apache.hadoop.fs.Path(f"{folder}/{uuid.uuid4().hex}")).toString()
+    write(path)
+    system.create(jvm.org.apache.hadoop.fs.Path(f"{path}/_done")).close()
+    return path
+
+
+def content_key(df: DataFrame) -> str:
+    """Names the files below a frame: changes with any of their paths, sizes or times."""
+    files = df.sparkSession.read.format("binaryFile").load(df.inputFiles())  # the contents are not read
+    facts = F.xxhash64("path", "length", "modificationTime")
+    return files.agg(F.hex(F.bit_xor(facts))).first()[0]
+
+
 def read_game_log(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame | None:
     """The cached log, or None when there is none."""
     if not exists(spark, path):

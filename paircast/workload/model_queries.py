@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-from functools import lru_cache
-
 from pyspark.sql import functions as F
 
 from paircast.functions.prediction import predicted_label
@@ -17,6 +14,8 @@ from paircast.operators.standings import standings_at_date
 from paircast.plans import training as M
 from paircast.plans.contest_table import contest_columns, contest_table, matched_sides
 from paircast.plans.serving import predict_schedule
+from paircast.session import shared_dir
+from paircast.sources.files import content_key, once
 from paircast.workload import tables as T
 from paircast.workload.log_queries import FORM_SQL, MEAN_SQL, STD_SQL
 from paircast.workload.registry import i8, query, r6, tidy
@@ -30,22 +29,37 @@ def _rich(spark, sf_dir):
     return advanced_metrics(four_factors(T.game_log(spark, sf_dir)))
 
 
-@lru_cache(maxsize=2)
+def _folder(spark, sf_dir):
+    """The bundle of these tables: training rows, models and their probabilities, made once and read by all queries."""
+    return f"{shared_dir(spark).rstrip('/')}/bundle-{content_key(T.game_log(spark, sf_dir))}"
+
+
 def _prepared(spark, sf_dir):
-    """Training rows, stored once per session in the shared folder."""
-    rows = M.prepare(contest_table(T.stored_log(spark, sf_dir), T.conference()))
-    return rows, feature_columns(contest_columns())
+    write = lambda path: M.training_rows(contest_table(T.stored_log(spark, sf_dir), T.conference())).write.parquet(path)
+    return spark.read.parquet(once(spark, f"{_folder(spark, sf_dir)}/rows", write)), feature_columns(contest_columns())
 
 
-@lru_cache(maxsize=8)
-def _trained(spark, sf_dir, *names):
+def _ensemble(spark, sf_dir, *names):
+    """The models with the defaults of plans/training.py."""
     rows, features = _prepared(spark, sf_dir)
-    return M.train_ensemble(rows, features, list(names))
+    return M.stored_ensemble(rows, features, _folder(spark, sf_dir), list(names))
 
 
-def _ensemble(spark, sf_dir, *names):
-    """The models with the defaults of plans/training.py, fitted once per session; stacking changes only the copy."""
-    return replace(_trained(spark, sf_dir, *names))
+def _held_out(spark, sf_dir, *names):
+    """The test rows with the probability of each model."""
+    rows, _ = _prepared(spark, sf_dir)
+    held_out = rows.filter("is_test")
+
+    def write(path):
+        M.with_model_probs(held_out, _ensemble(spark, sf_dir, *names)).select("game_id", *[f"prob_{n}" for n in names]).write.parquet(path)
+
+    probs = once(spark, f"{_folder(spark, sf_dir)}/probs-{'-'.join(names)}", write)
+    return held_out.join(spark.read.parquet(probs), "game_id")
+
+
+def _scored(names):
+    """An ensemble whose probabilities are columns already."""
+    return M.Ensemble(list(names), [None] * len(names), feature_columns(contest_columns()))
 
 
 _SIDE_MEANS = ("home_pts_roll_mean", "away_pts_roll_mean", "home_pts_roll_std", "home_recent_form")
@@ -63,16 +77,14 @@ _z = lambda c: f"({c} - (SELECT avg({c}) FROM split WHERE is_train)) / (SELECT s
 @query("scale_features", f"WITH {MATCHED_SMALL_SQL} SELECT {i8('game_id')}, {', '.join(r6(_z(c), c) for c in _SIDE_MEANS)} FROM split")
 def scale_features(spark, sf_dir):
     rows = chronological_split(matched_sides(form_features(_rich(spark, sf_dir), stats=STATS, ewm=False)))
-    scaled = M.population_scaled(rows.filter("not is_test"), rows, list(_SIDE_MEANS))
-    return tidy(scaled, "game_id", *_SIDE_MEANS)
+    fitted = M.fit_scaler(rows.filter("not is_test"), list(_SIDE_MEANS))
+    return tidy(M.scaled_columns(rows, fitted, list(_SIDE_MEANS)), "game_id", *_SIDE_MEANS)
 
 
 def _train_query(name: str, architecture: str):
     @query(name)
     def run(spark, sf_dir):
-        rows, _ = _prepared(spark, sf_dir)
-        ensemble = _ensemble(spark, sf_dir, architecture)
-        scored = M.with_model_probs(rows.filter("is_test"), ensemble)
+        scored = _held_out(spark, sf_dir, architecture)
         return tidy(scored.withColumnRenamed(f"prob_{architecture}", "prob"), "game_id", "home_win", "prob")
 
 
@@ -87,32 +99,26 @@ for _name, _architecture in (
 
 @query("train_ensemble")
 def train_ensemble(spark, sf_dir):
-    rows, _ = _prepared(spark, sf_dir)
-    ensemble = _ensemble(spark, sf_dir, *ALL)
-    scored = M.with_model_probs(rows.filter("is_test"), ensemble)
-    return tidy(E.with_best_model(E.model_accuracies(scored, ensemble.columns, "home_win")))
+    scored = _held_out(spark, sf_dir, *ALL)
+    return tidy(E.with_best_model(E.model_accuracies(scored, _scored(ALL).columns, "home_win")))
 
 
 @query("evaluate_ensemble")
 def evaluate_ensemble(spark, sf_dir):
-    rows, _ = _prepared(spark, sf_dir)
-    scored = M.score(rows.filter("is_test"), _ensemble(spark, sf_dir, *ALL))
+    scored = M.score(_held_out(spark, sf_dir, *ALL), _scored(ALL))
     judged = scored.withColumn("label", F.col("home_win").cast("int")).withColumn("predicted", predicted_label(F.col("home_win_prob")))
     return tidy(E.classification_report(judged))
 
 
 def _stacked(spark, sf_dir):
-    rows, _ = _prepared(spark, sf_dir)
-    held_out = rows.filter("is_test")
-    ensemble = M.train_stacking(_ensemble(spark, sf_dir, *ALL), held_out)
-    return M.score(held_out, ensemble)
+    held_out = _held_out(spark, sf_dir, *ALL)
+    return M.score(held_out, M.train_stacking(_scored(ALL), held_out))
 
 
 @query("stacking")
 def stacking(spark, sf_dir):
-    rows, _ = _prepared(spark, sf_dir)
-    held_out = rows.filter("is_test")
-    trained = M.train_stacking(_ensemble(spark, sf_dir, *ALL), held_out)
+    held_out = _held_out(spark, sf_dir, *ALL)
+    trained = M.train_stacking(_scored(ALL), held_out)
     plain = M.Ensemble(trained.architectures, trained.models, trained.features, meta=trained.meta)
     return tidy(M.score(held_out, plain), "game_id", "home_win", "stacked_prob")
 

@@ -41,7 +41,7 @@ def test_split_and_weights(prepared):
 
 def test_scaled_training_rows_are_centred(prepared):
     train = prepared.filter("not is_test")
-    scaled = M.population_scaled(train, train, FEATURES)
+    scaled = M.scaled_columns(train, M.fit_scaler(train, FEATURES), FEATURES)
     mean, spread = scaled.agg(F.avg("home_a"), F.stddev_pop("home_a")).first()
     assert (mean, spread) == (pytest.approx(0, abs=1e-9), pytest.approx(1))
 
@@ -82,6 +82,28 @@ def test_save_and_load(spark, prepared, ensemble, tmp_path):
     assert pick(loaded) == pytest.approx(pick(ensemble))
 
 
+def test_stored_models_are_fitted_once(prepared, tmp_path, monkeypatch):
+    first = M.stored_ensemble(prepared, FEATURES, str(tmp_path), ["logistic", "rf"], params=PARAMS)
+    monkeypatch.setattr(M, "train_model", lambda *a: pytest.fail("fitted again"))
+    again = M.stored_ensemble(prepared, FEATURES, str(tmp_path), ["logistic", "random_forest"], params=PARAMS)
+    rows = prepared.filter("is_test")
+    pick = lambda e: [tuple(r) for r in M.with_model_probs(rows, e).orderBy("game_id").select(*e.columns).collect()]
+    assert pick(again) == pick(first)
+
+
+def test_groves_make_one_forest(prepared, monkeypatch):
+    monkeypatch.setattr(M, "GROVE", 2)
+    model = M.train_model(prepared.filter("not is_test"), FEATURES, "rf", params=PARAMS["random_forest"])
+    groves = [s.getNumTrees for s in model.stages if hasattr(s, "getNumTrees")]
+    assert groves == [2, 2, 1]
+    scored = M.with_model_probs(prepared.filter("is_test"), M.Ensemble(["random_forest"], [model], FEATURES))
+    assert scored.columns == [*prepared.columns, "prob_random_forest"]
+    by_grove = model.transform(prepared.filter("is_test"))
+    every = [F.col(f"g{i}")[1] * n / 5 for i, n in enumerate(groves)]
+    want = by_grove.select("game_id", *[M.vector_to_array(f"probability_{i}").alias(f"g{i}") for i in range(3)]).select("game_id", sum(every).alias("p"))
+    assert scored.join(want, "game_id").filter(F.abs(F.col("p") - F.col("prob_random_forest")) > 1e-12).count() == 0
+
+
 def test_importances_cover_the_chosen_features(spark, ensemble):
     model = ensemble.models[ensemble.architectures.index("random_forest")]
     rows = M.feature_importance(model, FEATURES, spark).collect()
