@@ -16,7 +16,7 @@ from paircast.operators.games import (
     with_side_flags,
 )
 from paircast.operators.h2h import pairs_asof, with_h2h
-from paircast.operators.standings import standings_asof, with_own_standings, with_standings_diff
+from paircast.operators.standings import own_days, standings_asof, with_own_standings, with_standings_diff
 
 
 def side_features() -> list[str]:
@@ -63,7 +63,7 @@ def contest_table(log: DataFrame, conference: Column, window: int = 20, cohort:
     Rows with any missing feature are dropped.
     """
     features = form_features(advanced_metrics(four_factors(log)), window=window, ewm=False)
-    table = standings_asof(log, conference, cohort)
+    table = standings_asof(log, conference, cohort, own_days(log, cohort))
     contests = with_standings_diff(matched_sides(with_own_standings(ready_rows(features), table), tuple(STANDINGS_DEFAULTS)))
     joined = with_h2h(contests, pairs_asof(valid_contests(log)))
     return joined.select(*contest_columns()).filter(all_present(contest_columns()))

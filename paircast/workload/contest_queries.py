@@ -17,7 +17,7 @@ from paircast.operators.preparation import (
     validate_frame,
     with_recency_weights,
 )
-from paircast.operators.standings import standings_asof, standings_at_date, with_standings
+from paircast.operators.standings import own_days, standings_asof, standings_at_date, with_standings
 from paircast.plans.contest_table import contest_columns, contest_table, matched_sides, side_features
 from paircast.operators.form import form_features
 from paircast.session import stored
@@ -30,7 +30,7 @@ from paircast.workload.registry import i8, query, r6, tidy
 _STAND_PAST = "(PARTITION BY team_id ORDER BY game_date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
 STANDINGS_SQL = f"""
 decided AS (SELECT *, row_number() OVER (PARTITION BY team_id ORDER BY game_date, game_id) AS at_no FROM log WHERE wl IN ('W', 'L')),
-day AS (SELECT team_id, game_date, sum(CASE WHEN wl = 'W' THEN 1 ELSE 0 END) AS w, sum(CASE WHEN wl = 'L' THEN 1 ELSE 0 END) AS l,
+day AS MATERIALIZED (SELECT team_id, game_date, sum(CASE WHEN wl = 'W' THEN 1 ELSE 0 END) AS w, sum(CASE WHEN wl = 'L' THEN 1 ELSE 0 END) AS l,
                max(CASE WHEN wl = 'W' THEN at_no END) AS lw, max(CASE WHEN wl = 'L' THEN at_no END) AS ll
         FROM decided GROUP BY 1, 2),
 spine AS (SELECT t.team_id, d.game_date FROM (SELECT DISTINCT team_id FROM log) t, (SELECT DISTINCT game_date FROM log) d),
@@ -39,8 +39,8 @@ rec0 AS (
          coalesce(sum(w) OVER {_STAND_PAST}, 0) AS wins, coalesce(sum(l) OVER {_STAND_PAST}, 0) AS losses,
          coalesce(max(lw) OVER {_STAND_PAST}, 0) - coalesce(max(ll) OVER {_STAND_PAST}, 0) AS streak
   FROM spine s LEFT JOIN day USING (team_id, game_date)),
-rec AS (SELECT *, CASE WHEN wins + losses > 0 THEN CAST(wins AS DOUBLE) / (wins + losses) ELSE CAST(0.5 AS DOUBLE) END AS win_pct FROM rec0),
-standings AS (
+rec AS MATERIALIZED (SELECT *, CASE WHEN wins + losses > 0 THEN CAST(wins AS DOUBLE) / (wins + losses) ELSE CAST(0.5 AS DOUBLE) END AS win_pct FROM rec0),
+standings AS MATERIALIZED (
   SELECT *, rank() OVER (PARTITION BY game_date, conf ORDER BY win_pct DESC) AS conf_rank,
          rank() OVER (PARTITION BY game_date ORDER BY win_pct DESC) AS league_rank,
          CAST((max(wins) OVER (PARTITION BY game_date, conf) - wins) + (losses - min(losses) OVER (PARTITION BY game_date, conf)) AS DOUBLE) / 2 AS games_back
@@ -113,7 +113,7 @@ _standing_value_sql = lambda s, c: _standing_value(s, c).replace("as.", '"as".')
 )
 def matchup_standings(spark, sf_dir):
     log = T.game_log(spark, sf_dir)
-    joined = with_standings(G.valid_contests(log), standings_asof(log, T.conference()))
+    joined = with_standings(G.valid_contests(log), standings_asof(log, T.conference(), asked=own_days(log)))
     return tidy(joined, "game_id", *[f"{s}_{c}" for s, c in _SIDES_STANDINGS])
 
 
@@ -124,7 +124,7 @@ def matchup_standings(spark, sf_dir):
 )
 def standings_diff(spark, sf_dir):
     log = T.game_log(spark, sf_dir)
-    joined = with_standings(G.valid_contests(log), standings_asof(log, T.conference()))
+    joined = with_standings(G.valid_contests(log), standings_asof(log, T.conference(), asked=own_days(log)))
     return tidy(joined, "game_id", "rank_diff", "win_pct_diff")
 
 

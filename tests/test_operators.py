@@ -1,6 +1,7 @@
 """Literal cases and invariants of the operators."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from paircast.operators import games as G
 from paircast.operators import h2h, history, odds, ratings, stats
 from paircast.operators.form import form_features, latest_features, next_contest_features
 from paircast.operators.preparation import default_for, feature_columns, recency_weight, validate_frame
-from paircast.operators.standings import standings_asof, standings_at_date
+from paircast.operators.standings import own_days, standings_asof, standings_at_date
 
 
 def one(spark, *columns):
@@ -172,6 +173,59 @@ def test_standings_before_each_day(spark):
     assert set(at_day) == {1, 2} and at_day[1].wins == 2 and at_day[2].streak == 1
 
 
+def _season_log(spark):
+    rng = random.Random(6)
+    rows = []
+    for g in range(160):
+        a, b = rng.sample(range(1, 10), 2)
+        won = rng.choice([True, True, False, None])
+        mark = (None, None) if won is None else ("W", "L") if won else ("L", "W")
+        rows += [(g, g // 3 * 2, a, b, "h", mark[0], 1.0), (g, g // 3 * 2, b, a, "a", mark[1], -1.0)]
+    return log_of(spark, rows)
+
+
+def _standings_by_force(log, conf_of):
+    rows = [r.asDict() for r in log.orderBy("game_date", "game_id").collect()]
+    out = {}
+    teams = {r["team_id"] for r in rows}
+    for day in {r["game_date"] for r in rows}:
+        table = {}
+        for t in teams:
+            results = [r["wl"] for r in rows if r["team_id"] == t and r["game_date"] < day and r["wl"] in ("W", "L")]
+            wins, losses = results.count("W"), results.count("L")
+            streak = 0
+            for x in reversed(results):
+                if x != results[-1]:
+                    break
+                streak += 1 if x == "W" else -1
+            table[t] = (wins, losses, streak, wins / (wins + losses) if results else 0.5)
+        for t, (wins, losses, streak, pct) in table.items():
+            peers = [v for u, v in table.items() if conf_of(u) == conf_of(t)]
+            back = (max(v[0] for v in peers) - wins + losses - min(v[1] for v in peers)) / 2
+            ranks = 1 + sum(v[3] > pct for v in peers), 1 + sum(v[3] > pct for v in table.values())
+            out[day, t] = (wins, losses, streak, pct, *ranks, back)
+    return out
+
+
+def test_standings_by_force(spark):
+    log = _season_log(spark)
+    want = _standings_by_force(log, lambda t: None if t == 9 else t < 5)
+    conf = F.when(F.col("team_id") < 5, "East").when(F.col("team_id") < 9, "West")  # one team has no conference
+    pick = lambda df: {(r.game_date, r.team_id): (r.wins, r.losses, r.streak, r.win_pct, r.conf_rank, r.league_rank, r.games_back) for r in df.collect()}
+    full = pick(standings_asof(log, conf))
+    assert full == want
+    own = pick(standings_asof(log, conf, asked=own_days(log)))
+    assert own == {k: v for k, v in want.items() if k in own} and len(own) == own_days(log).count()
+    by_cohort = log.withColumn("season", F.lit("s"))
+    assert pick(standings_asof(by_cohort, conf, "season", own_days(by_cohort, "season"))) == own
+
+
+def test_lookups_make_no_product_of_entities_and_days(spark):
+    log = _season_log(spark)
+    plan = standings_asof(log, F.lit("East"), asked=own_days(log))._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
 def test_head_to_head_window_and_defaults(spark):
     rows = []
     for i in range(12):
