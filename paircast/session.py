@@ -72,12 +72,12 @@ _shipped: set[str] = set()
 def ship(spark: SparkSession) -> None:
     """Send the package to the executors, once for an application.
 
-    Python functions name their modules, so workers that cannot import them
-    from a shared folder get them as a file that Spark distributes. A local
-    session's workers inherit the driver's path instead.
+    Python functions name their modules, and workers search neither the
+    driver's path nor the folder it was started in, so they get them as a file
+    that Spark distributes.
     """
     context = spark.sparkContext
-    if context.master.startswith("local[") or context.master == "local" or context.applicationId in _shipped:
+    if context.applicationId in _shipped:
         return
     root = Path(__file__).resolve().parent
     archive = Path(tempfile.mkdtemp(prefix="paircast-")) / f"{root.name}.zip"
