@@ -6,8 +6,8 @@ break between two plain characters, or before the first full stop or comma
 after a letter or digit, has the ids of its pieces one after the other. The pieces repeat, so each worker
 remembers the ids of those it has seen: two generations of a bounded size, of
 which the older one goes when the newer is full. Where neither case nor white
-space leaves a trace in the ids, the pieces are simply the words, and letters
-not seen before are encoded many at a time. Places that are not plain (runs of spaces, other scripts' spaces, combining marks)
+space leaves a trace in the ids, the pieces are simply the words, and new words
+of plain letters go straight to the merges. Places that are not plain (runs of spaces, other scripts' spaces, combining marks)
 are never cut. Special tokens written out in a text are their one id, as by the
 library's defaults, and what stands between them is encoded as texts of its own.
 """
@@ -28,8 +28,11 @@ _PIECES = re.compile(r"[ \n]?[^ \n.,]+|[.,][^ \n]*")
 #: What a text of words must not hold to be cut at white space, and the same for ASCII.
 _UNPLAIN = re.compile(f"[^ \n{_SAFE}]|İ")
 _ASCII = bytes([10, *range(32, 127)])
-#: Letters and the stops after them, which are encoded apart.
-_STOPPED = re.compile("([^\\W\\d_]+)([.,]+)")
+#: Letters and the marks after them, which are encoded apart.
+_MARKED = re.compile(r"([^\W\d_]+)(\W+)")
+#: How byte-level models spell the bytes of a text: printable ones as they are, the others from U+0100 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_SPELT = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 _CUT = re.compile(f"(?<=[{_SAFE}])(?=[ \n][{_SAFE}])")
 #: Pieces in one of the two generations that a worker remembers: about 65 MB.
 REMEMBERED = 400_000
@@ -44,18 +47,17 @@ class _Ids(dict):
 
     def __init__(self, tokenizer: Tokenizer) -> None:
         super().__init__()
-        self.tokenizer = tokenizer
+        self.tokenizer, self.model = tokenizer, tokenizer.model
         added = tokenizer.get_added_tokens_decoder()
         if any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added.values()):
             raise ValueError("added tokens are only supported where they match a text as it is written")
         self.special = {t.content: i.to_bytes(4, "little") for i, t in added.items()}
         self.parting = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
+        self.folds = False
         # Where neither case nor white space leaves a trace in the ids, pieces that differ in them only are one.
         self.folds = len({tuple(tokenizer.encode(t, add_special_tokens=False).ids) for t in ("ab", "Ab", " aB", "\nAB")}) == 1
 
         self.older: dict[str, bytes] = {}
-        #: Ids that end a word, for words encoded together.
-        self.last = {i for token, i in tokenizer.get_vocab().items() if token.endswith("</w>")}
 
     def keep(self, piece: str, ids: bytes) -> bytes:
         if len(self) >= REMEMBERED:
@@ -67,34 +69,23 @@ class _Ids(dict):
     def __missing__(self, piece: str) -> bytes:
         if piece in self.older:
             return self.keep(piece, self.older[piece])
+        if self.folds and piece.isalpha() and piece.islower() and not _UNPLAIN.search(piece):
+            # One word as the model gets it: nothing to normalise or to cut.
+            spelt = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_SPELT)
+            return self.keep(piece, _packed([token.id for token in self.model.tokenize(spelt)]))
         return self.keep(piece, _packed(self.tokenizer.encode(piece, add_special_tokens=False).ids))
 
     def of_words(self, words: list[str]) -> bytes:
+        """Ids of lower-case words; those before marks are remembered without them."""
         found = list(map(self.get, words))
-        if None in found:
-            for at in [i for i, ids in enumerate(found) if ids is None]:
-                found[at] = self.older.get(words[at])
-            fresh = {w for w, ids in zip(words, found) if ids is None}
-            own = self._encoded(fresh)
-            for w, ids in zip(words, found):
-                if ids is None:
-                    ids = own[w]
-                if w not in self:
-                    self.keep(w, ids)
-            found = [own[w] if ids is None else ids for w, ids in zip(words, found)]
+        at = -1
+        for _ in range(found.count(None)):
+            at = found.index(None, at + 1)
+            word = words[at]
+            parts = None if word[-1].isalpha() else _MARKED.fullmatch(word)
+            found[at] = self[parts[1]] + self[parts[2]] if parts else self[word]
         return b"".join(found)
 
-    def _encoded(self, words: set[str]) -> dict[str, bytes]:
-        """Ids of words: letters together, with stops after them apart, the rest one by one."""
-        parted = {w: m.groups() if (m := _STOPPED.fullmatch(w)) else (w, "") for w in words}
-        letters = [c for c in {c for c, _ in parted.values()} if c.isalpha() and c not in self]
-        ids = self.tokenizer.encode(" ".join(letters), add_special_tokens=False).ids if letters else []
-        ends = [i + 1 for i, one in enumerate(ids) if one in self.last]
-        own = {}
-        if len(ends) == len(letters):
-            own = {c: _packed(ids[a:b]) for c, a, b in zip(letters, [0, *ends], ends)}
-        return {w: (own[c] if c in own else self[c]) + (self[stops] if stops else b"") for w, (c, stops) in parted.items()}
-
 
 @lru_cache(maxsize=2)
 def _ids(path: str) -> _Ids:
