@@ -7,8 +7,8 @@ and lines, ...). The machine models every pair of features by the product of
 two low-rank vectors; the sum over pairs is scored in linear time as half the
 difference between the square of the sum and the sum of squares.
 
-It is fitted by AdaGrad on a bounded sample of labelled rows, in one task; all
-documents are scored.
+It is fitted by AdaGrad on a bounded sample of labelled rows, whose features are
+made in parallel and learnt from in one task; all documents are scored.
 
 Cases: null texts are scored as empty; without labelled rows of both classes
 every score is the share of label 1 (0.5 without any); rows are scored one by
@@ -19,9 +19,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, functions as F
 
-from paircast.llm.common import SPACED, U64, Words, blobs_of, portions, record
+from paircast.llm.common import SPACED, U64, Words, blobs_of, flat, portions, record
 from paircast.llm.sampling import labelled_sample
 
 #: Hashed word features, ranges of a statistic, rank of the interactions.
@@ -113,10 +114,9 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.margins(ids, values, begins[:-1])[0], -30, 30)))
 
     @classmethod
-    def fit(cls, blobs: list[bytes], y: np.ndarray, prior: float, epochs: int = EPOCHS) -> Machine:
-        """y: 0 or 1, both there. Classes weigh so that the share of 1 is `prior`."""
+    def fit(cls, ids: np.ndarray, values: np.ndarray, begins: np.ndarray, y: np.ndarray, prior: float, epochs: int = EPOCHS) -> Machine:
+        """Features as `features` gives them; y: 0 or 1, both there. Classes weigh so that the share of 1 is `prior`."""
         rng = np.random.default_rng(7)
-        ids, values, begins = features(blobs)
         out = cls(float(np.log(prior / (1 - prior))), np.zeros(_SIZE, np.float32), rng.normal(0, 0.02, (_SIZE, RANK)).astype(np.float32))
         weight = np.where(y == 1, prior / y.mean(), (1 - prior) / (1 - y.mean()))
         seen_l, seen_f, seen_b = np.full(_SIZE, 1e-6, np.float32), np.full((_SIZE, RANK), 1e-6, np.float32), 1e-6
@@ -145,14 +145,31 @@ class Machine:
         return out
 
 
+_FEATURED = pa.schema([("at", pa.int64()), ("y", pa.int32()), ("ids", pa.list_(pa.int32())), ("values", pa.list_(pa.float32()))])
+
+
+def _featured(batches):
+    """Sampled texts as features, a portion at a time, so that only bounded rows go to the fitting task."""
+    for batch in batches:
+        blobs = blobs_of(batch.column("text"))
+        for part in portions(blobs):
+            ids, values, begins = features(blobs[part])
+            lists = [pa.ListArray.from_arrays(pa.array(begins, pa.int32()), pa.array(v)) for v in (ids.astype(np.int32), values)]
+            own = [batch.column(c).cast(_FEATURED.field(c).type)[part.start : part.stop] for c in ("at", "y")]
+            yield pa.RecordBatch.from_arrays([*own, *lists], schema=_FEATURED)
+
+
 def _fit(prior: float, epochs: int):
     schema = pa.schema([("bias", pa.float64()), ("linear", pa.binary()), ("factors", pa.binary())])
 
     def run(batches):
-        table = pa.Table.from_batches(batches)
-        table = table.sort_by([("at", "ascending"), ("text", "ascending")])
+        table = pa.Table.from_batches(batches).combine_chunks()
+        # Texts with one hash are equal, and so are their features.
+        table = table.take(pa.compute.sort_indices(table.select(["at", "y"]), sort_keys=[("at", "ascending"), ("y", "ascending")]))
         y = table.column("y").to_numpy().astype(np.float64)
-        machine = Machine.fit(blobs_of(table.column("text")), y, prior, epochs)
+        ids, values = (flat(table.column(c)) for c in ("ids", "values"))
+        begins = np.concatenate([[0], np.cumsum(pa.compute.list_value_length(ids).to_numpy())])
+        machine = Machine.fit(ids.flatten().to_numpy(), values.flatten().to_numpy(), begins, y, prior, epochs)
         yield record(schema, bias=[machine.bias], linear=[machine.linear.tobytes()], factors=[machine.factors.tobytes()])
 
     return run
@@ -164,8 +181,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows_per_cla
     total = sum(counts.values())
     if len(counts) == 2:
         prior = counts[1] / total
-        sample = labelled_sample(docs, labels, label, rows_per_class).coalesce(1)
-        # The sample is bounded, so one task may hold it.
+        sample = labelled_sample(docs, labels, label, rows_per_class).select("at", "y", "text")
+        # The sample's rows and the features of each are bounded, so one task may hold them.
+        sample = sample.mapInArrow(_featured, "at long, y int, ids array<int>, values array<float>").repartition(1)
         classes = sample.mapInArrow(_both_classes(_fit(prior, epochs)), "bias double, linear binary, factors binary").collect()
         if classes:
             r = classes[0]
