@@ -25,15 +25,19 @@ def form_features(
     rolling: bool = True,
     ewm: bool = True,
     momentum: bool = True,
+    carries: DataFrame | None = None,
+    fresh: Column | None = None,
 ) -> DataFrame:
     """All form columns of every row from one partitioning and one sort.
 
     The log of an entity is cut into blocks with a halo (see `sequence`), so an
-    entity with a third of all rows is spread over many tasks.
+    entity with a third of all rows is spread over many tasks. `carries` has
+    what exponential means take over from rows that are not given (see
+    `ewm_carries`); then only `fresh` rows add to them.
     """
     stats = tuple(s for s in stats if s in log.columns)
-    halo = max(window + 1, 11)
-    rows = with_halo_blocks(_sequenced(log, entity), halo)
+    halo = halo_rows(window)
+    rows = with_halo_blocks(_sequenced(log, entity), halo).withColumn("_fresh", F.lit(True) if fresh is None else fresh)
     order = Window.partitionBy(entity, "_block").orderBy("seq")
     columns = {}
     if rolling:
@@ -42,13 +46,13 @@ def form_features(
         # Powers of the growth fit a double over BLOCK_ROWS rows, so longer blocks are parted.
         part = F.floor((F.col("_pos") - 1) / BLOCK_ROWS)
         rows = rows.withColumn("_part", part).withColumn("_at", F.col("_pos") - F.col("_part") * BLOCK_ROWS)
-        rows = rows.join(_ewm_carry(rows, entity, stats), [entity, "_block", "_part"], "left")
+        rows = rows.join(_ewm_carry(rows, entity, stats, carries), [entity, "_block", "_part"], "left")
         parted = 2 * halo > BLOCK_ROWS
-        columns.update(_ewm_columns(Window.partitionBy(entity, "_block", "_part").orderBy("seq") if parted else order, stats))
+        columns.update(_ewm_columns(rows, Window.partitionBy(entity, "_block", "_part").orderBy("seq") if parted else order, stats))
     if momentum:
         rows, extra = _momentum_columns(rows, order)
         columns.update(extra)
-    out = own_rows(rows.withColumns(columns)).drop("_part", "_at", *[f"_ewm_{s}" for s in stats])
+    out = own_rows(rows.withColumns(columns)).drop("_part", "_at", "_fresh", *[f"_ewm_{s}" for s in stats])
     if momentum:
         out = out.withColumns(_rest_columns()).drop("_won", "_gap", "_dense")
     return out.drop("seq")
@@ -76,11 +80,20 @@ def _rolling_columns(log: DataFrame, order, stats, window: int) -> dict:
     return columns
 
 
+def halo_rows(window: int = 20) -> int:
+    """Rows before a row that its rolling and momentum columns look at."""
+    return max(window + 1, 11)
+
+
+def _ewm_value(df: DataFrame, stat: str) -> Column:
+    return F.when(F.col("_fresh"), _known(df, stat))
+
+
 def _growth(place: Column, span: int = EWM_SPAN) -> Column:
     return F.pow(F.lit((span + 1.0) / (span - 1.0)), place.cast("double"))
 
 
-def _ewm_carry(rows: DataFrame, entity: str, stats) -> DataFrame:
+def _ewm_carry(rows: DataFrame, entity: str, stats, carries: DataFrame | None = None) -> DataFrame:
     """What each block takes over from the rows before it, one row per entity and block.
 
     Per statistic: values so far, and mean, weight and place (relative to the
@@ -90,15 +103,8 @@ def _ewm_carry(rows: DataFrame, entity: str, stats) -> DataFrame:
     block of 200 rows is enough),
     far below the precision of a double.
     """
-    own = rows.filter("_own")
     by_block = [entity, "_block", "_part"]
-    last = own.groupBy(*by_block).agg(F.max("_at").alias("_rows"), *[F.max(F.when(_known(rows, s).isNotNull(), F.col("_at"))).alias(f"_last_{s}") for s in stats])
-    joined = own.join(last, by_block)
-    sums = []
-    for s in stats:
-        value, weight = _known(rows, s), _growth(F.col("_at") - F.col(f"_last_{s}"))
-        sums += [F.count(value).alias(f"_n_{s}"), F.sum(value * weight).alias(f"_s_{s}"), F.sum(F.when(value.isNotNull(), weight)).alias(f"_w_{s}"), F.max(f"_last_{s}").alias(f"_last_{s}")]
-    blocks = joined.groupBy(*by_block).agg(F.max("_rows").alias("_rows"), *sums)
+    blocks = _ewm_sums(rows.filter("_own"), by_block, stats)
     # One row per block from here on.
     order = Window.partitionBy(entity).orderBy("_block", "_part")
     past = order.rowsBetween(Window.unboundedPreceding, -1)
@@ -108,16 +114,13 @@ def _ewm_carry(rows: DataFrame, entity: str, stats) -> DataFrame:
         for s in stats
     }
     blocks = blocks.withColumns(ends)
+    if carries is not None:
+        # What came before the first row is a block of its own without rows.
+        first = carries.select(entity, F.lit(-1).cast("long").alias("_block"), F.lit(0).cast("long").alias("_part"), F.lit(0).cast("long").alias("_begin"), *[F.col(f"carry_{s}.n").alias(f"_n_{s}") for s in stats], *[_carried_end(s).alias(f"_e_{s}") for s in stats])
+        blocks = blocks.select(*first.columns).unionByName(first)
     blocks = blocks.withColumns({f"_b_{s}": F.last(f"_e_{s}", ignorenulls=True).over(past) for s in stats})
     # The end of a block joined to the last one before it.
-    chained = {}
-    for s in stats:
-        e, before = F.col(f"_e_{s}"), F.col(f"_b_{s}")
-        kept = F.coalesce(before["weight"] * _growth(before["place"] - e["place"]), F.lit(0.0))
-        weight = e["weight"] + kept
-        mean = (e["mean"] * e["weight"] + F.coalesce(before["mean"], F.lit(0.0)) * kept) / weight
-        chained[f"_e_{s}"] = F.when(e.isNotNull(), F.struct(e["place"].alias("place"), mean.alias("mean"), weight.alias("weight")))
-    blocks = blocks.withColumns(chained)
+    blocks = blocks.withColumns({f"_e_{s}": _chained(F.col(f"_b_{s}"), F.col(f"_e_{s}")) for s in stats})
     taken = {}
     for s in stats:
         end = F.last(f"_e_{s}", ignorenulls=True).over(past)
@@ -125,7 +128,62 @@ def _ewm_carry(rows: DataFrame, entity: str, stats) -> DataFrame:
     return blocks.select(*by_block, *[c.alias(n) for n, c in taken.items()])
 
 
-def _ewm_columns(order, stats) -> dict:
+def _ewm_sums(rows: DataFrame, keys: list[str], stats) -> DataFrame:
+    """Per key and statistic: values, their weighted sum and weight, relative to the place (`_at`) of the last one."""
+    last = rows.groupBy(*keys).agg(F.max("_at").alias("_rows"), *[F.max(F.when(_ewm_value(rows, s).isNotNull(), F.col("_at"))).alias(f"_last_{s}") for s in stats])
+    sums = []
+    for s in stats:
+        value, weight = _ewm_value(rows, s), _growth(F.col("_at") - F.col(f"_last_{s}"))
+        sums += [F.count(value).alias(f"_n_{s}"), F.sum(value * weight).alias(f"_s_{s}"), F.sum(F.when(value.isNotNull(), weight)).alias(f"_w_{s}"), F.max(f"_last_{s}").alias(f"_last_{s}")]
+    return rows.join(last, keys).groupBy(*keys).agg(F.max("_rows").alias("_rows"), *sums)
+
+
+def _chained(before: Column, end: Column) -> Column:
+    """An end (place, mean, weight) that goes on from the one before it; missing where there is no end."""
+    kept = F.coalesce(before["weight"] * _growth(before["place"] - end["place"]), F.lit(0.0))
+    weight = end["weight"] + kept
+    mean = (end["mean"] * end["weight"] + F.coalesce(before["mean"], F.lit(0.0)) * kept) / weight
+    return F.when(end.isNotNull(), F.struct(end["place"].alias("place"), mean.alias("mean"), weight.alias("weight")))
+
+
+def _carried_end(stat: str) -> Column:
+    """A stored carry as an end, placed relative to the first given row; `tail_rows` rows precede the fresh ones."""
+    c = F.col(f"carry_{stat}")
+    return F.when(c["n"] > 0, F.struct((F.col("tail_rows") - c["behind"]).alias("place"), c["mean"].alias("mean"), c["weight"].alias("weight")))
+
+
+def log_tails(log: DataFrame, entity: str = "team_id", window: int = 20) -> DataFrame:
+    """The last rows of every entity, as many as a new row looks back at; ranked before the shuffle."""
+    newest = Window.partitionBy(entity).orderBy(F.desc("game_date"), F.desc("game_id"))
+    return log.withColumn("_back", F.row_number().over(newest)).filter(F.col("_back") <= halo_rows(window)).drop("_back")
+
+
+def ewm_carries(log: DataFrame, entity: str = "team_id", stats: tuple[str, ...] = ROLLED_STATS, window: int = 20, carries: DataFrame | None = None, fresh: Column | None = None) -> DataFrame:
+    """What exponential means go on from, one row per entity.
+
+    Per statistic `carry_<s>`: values so far, mean and weight at the last one,
+    and the rows since. `tail_rows` is the length of the entity's tail (see
+    `log_tails`). With the carries of an earlier time, the log is that time's tails and the
+    `fresh` rows after them.
+    """
+    stats = tuple(s for s in stats if s in log.columns)
+    rows = _sequenced(log, entity).withColumn("_fresh", F.lit(True) if fresh is None else fresh).withColumn("_at", F.col("seq"))
+    ends = _ewm_sums(rows, [entity], stats)
+    if carries is not None:
+        ends = ends.join(carries, entity, "left")
+    out = {}
+    for s in stats:
+        n, last = F.col(f"_n_{s}"), F.col(f"_last_{s}")
+        end = F.when(n > 0, F.struct(last.alias("place"), (F.col(f"_s_{s}") / F.col(f"_w_{s}")).alias("mean"), F.col(f"_w_{s}").alias("weight")))
+        if carries is not None:
+            n = n + F.coalesce(f"carry_{s}.n", F.lit(0))
+            end = F.coalesce(_chained(_carried_end(s), end), _carried_end(s))
+        out[f"carry_{s}"] = F.struct(n.alias("n"), end["mean"].alias("mean"), end["weight"].alias("weight"), (F.col("_rows") - end["place"]).alias("behind"))
+    tail = F.least(F.col("_rows"), F.lit(halo_rows(window))).cast("long").alias("tail_rows")
+    return ends.select(entity, tail, *[c.alias(name) for name, c in out.items()])
+
+
+def _ewm_columns(rows: DataFrame, order, stats) -> dict:
     """Exponential mean with adjusted weights, as a ratio of two running sums.
 
     Both sums carry the weight growth^position, so the common factor cancels;
@@ -138,7 +196,7 @@ def _ewm_columns(order, stats) -> dict:
     columns = {}
     for stat in stats:
         carry = F.col(f"_ewm_{stat}")
-        value = F.when(F.col("_own"), F.nanvl(F.col(stat).cast("double"), F.lit(None).cast("double")))
+        value = F.when(F.col("_own"), _ewm_value(rows, stat).cast("double"))
         kept = F.coalesce(carry["weight"] * _growth(carry["place"]), F.lit(0.0))
         weights = F.sum(F.when(value.isNotNull(), growth)).over(past)
         weighted = F.sum(value * growth).over(past)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from paircast.constants import ROLLED_STATS
 from paircast.operators import games as G
 from paircast.operators import history as H
 from paircast.operators.form import form_features
@@ -15,7 +16,7 @@ from paircast.sources.files import write_by_season
 from paircast.streaming import incremental as I
 from paircast.workload import tables as T
 from paircast.workload.history_queries import RESULTS_SQL, _results
-from paircast.workload.log_queries import FORM_SQL, SEASON, _READY
+from paircast.workload.log_queries import FLAGS, FORM_SQL, MEAN_SQL, MOMENTUM_SQL, SEASON, STD_SQL, _READY, _ewm_sum
 from paircast.workload.registry import i8, query, r6, tidy
 
 # --- payloads: landed JSON, in pages of at most 100 games -------------------
@@ -296,33 +297,39 @@ def incr_season_refresh(spark, sf_dir):
 MARK = "1998-06-01"
 # Only the first ten teams have rows after the mark.
 _PARTIAL_LOG = FORM_SQL.replace("FROM rich)", f"FROM rich WHERE game_date <= DATE '{MARK}' OR team_id < 10)")
-_INCR_SHOWN = ("pts_roll_mean", "win_streak", "days_rest")
-
-
-_INCR_SQL = f"WITH {_PARTIAL_LOG} SELECT {i8('game_id')}, {i8('team_id')}, {', '.join(r6(c) for c in _INCR_SHOWN)} FROM form"
+_INCR_FORM = (*MEAN_SQL, *STD_SQL, *MOMENTUM_SQL)
+_INCR_EWM = tuple(f"{s}_ewm" for s in ROLLED_STATS)
+_INCR_SHOWN = (*_INCR_FORM, *_INCR_EWM)
+_INCR_SQL = f"""WITH {_PARTIAL_LOG},
+means AS (SELECT c.game_id, c.team_id, {', '.join(f'{_ewm_sum(s)} AS {s}_ewm' for s in ROLLED_STATS)}
+  FROM seq c LEFT JOIN seq p ON p.team_id = c.team_id AND p.rn BETWEEN c.rn - 250 AND c.rn - 1 GROUP BY c.game_id, c.team_id)
+SELECT {i8('game_id')}, {i8('team_id')}, {', '.join((i8 if c in FLAGS else r6)(c) for c in _INCR_SHOWN)} FROM form JOIN means USING (game_id, team_id)"""
 
 
 def _partial_log(spark, sf_dir):
-    """The log with all rows, and the form columns of its rows up to the mark."""
-    log = T.game_log(spark, sf_dir).filter(f"game_date <= date'{MARK}' or team_id < 10")
-    return log, form_features(G.advanced_metrics(G.four_factors(log.filter(f"game_date <= date'{MARK}'"))))
+    """The log with all rows, and its rows up to the mark with the features and the state that an earlier run left."""
+    log = stored(T.game_log(spark, sf_dir).filter(f"game_date <= date'{MARK}' or team_id < 10"), "game-log")
+    past = log.filter(f"game_date <= date'{MARK}'")
+    tails, carries = I.feature_state(past)
+    return log, form_features(G.advanced_metrics(G.four_factors(past))), (stored(tails, "tails"), stored(carries, "carries"))
 
 
 def refreshed(spark, sf_dir):
-    """All form columns, stored, so that also those are computed which a query does not show."""
-    log, old = _partial_log(spark, sf_dir)
-    return stored(I.refresh_features(stored(old, "features"), log, MARK), "refreshed")
+    """Features up to the mark from an earlier run, and those of later rows from its state."""
+    log, old, state = _partial_log(spark, sf_dir)
+    return I.extend_features(stored(old, "features"), state, log, MARK)[0]
 
 
 def refreshed_in_place(spark, sf_dir):
     """The same as a table by season, where only seasons with rows after the mark are overwritten."""
-    log, old = _partial_log(spark, sf_dir)
+    log, old, state = _partial_log(spark, sf_dir)
     path = scratch_path(spark, "features-by-season")
     write_by_season(old, path, replace_all=True)
     cached = spark.read.schema(old.schema).parquet(path)
     changed = I.after(log, MARK).select("season").distinct()
     # The slice is read from the table that it overwrites, so it is stored first.
-    write_by_season(stored(I.refresh_features(cached, log, MARK).join(changed, "season", "left_semi"), "slice"), path)
+    part = cached.join(changed, "season", "left_semi")
+    write_by_season(stored(I.extend_features(part, state, log, MARK)[0].select(*old.columns), "slice"), path)
     return spark.read.schema(old.schema).parquet(path)
 
 
