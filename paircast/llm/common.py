@@ -42,6 +42,11 @@ def row_key() -> list[Column]:
     return [id_key().alias("_id"), F.xxhash64("text").alias("_hash")]
 
 
+def with_row(docs: DataFrame) -> DataFrame:
+    """Each row of docs as one struct `_row` beside its key, so that no name of docs meets one of an operator."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *row_key())
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread 64 bits (the finaliser of splitmix64)."""
     x = x ^ (x >> U64(30))

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from paircast.llm.common import ALNUM, U64, Words, blobs_of, id_key, portions, record, row_key
+from paircast.llm.common import ALNUM, U64, Words, blobs_of, id_key, portions, record, row_key, with_row
 
 WINDOW = 13
 #: Windows in one broadcast: about 200 bytes each, so 100 MB at most.
@@ -181,8 +181,7 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> Da
     """docs, all columns, without the contaminated rows."""
     found = contamination(docs, benchmark, **options).where("contaminated")
     bad = found.select(id_key().alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    keyed = docs.withColumns({"_id": id_key(), "_hash": F.xxhash64("text")})
-    return keyed.join(bad, ["_id", "_hash"], "left_anti").select(*docs.columns)
+    return with_row(docs).join(bad, ["_id", "_hash"], "left_anti").select("_row.*")
 
 
 def cut_spans(text: str | None, runs) -> str | None:

@@ -21,9 +21,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 import zstandard
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from paircast.llm.common import with_row
+
 UNKNOWN = "und"
 #: The sample: rows for each language, characters of each row.
 SAMPLE_ROWS, SAMPLE_CHARS = 256, 512
@@ -31,7 +34,7 @@ BLOCK = 4096
 #: Smallest relative margin of the best to the second size that is not narrow, and the least bytes to judge it.
 MARGIN, EVIDENCE = 0.004, 64
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _OTHER = re.compile(r"[\W\d_]+")
 _SETTINGS = {"window_log": 19, "chain_log": 17, "hash_log": 17, "search_log": 4, "min_match": 4, "strategy": zstandard.STRATEGY_LAZY2}
 
@@ -111,5 +114,5 @@ def identify(docs: DataFrame, labelled: DataFrame, **options) -> DataFrame:
 
 def without_rejected(docs: DataFrame, labelled: DataFrame, **options) -> DataFrame:
     """docs, all columns, without the rows whose language is rejected."""
-    judged = classifier(fit(labelled), **options)("text")
-    return docs.withColumn("_language", judged).where(~F.col("_language.rejected")).select(*docs.columns)
+    judged = classifier(fit(labelled), **options)("_row.text")
+    return with_row(docs).select("_row", judged.alias("_language")).where(~F.col("_language.rejected")).select("_row.*")

@@ -38,7 +38,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from paircast.llm.common import CODE, U64, blobs_of, id_key, portions, record, row_key
+from paircast.llm.common import CODE, U64, blobs_of, portions, record, row_key, with_row
 from paircast.session import stored
 
 WINDOW = 400
@@ -326,7 +326,5 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, lev
         return kept.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
 
     cut = _removed(docs, window, gram, levels).select(*_KEYS, decoded("kept").alias("_kept"))
-    keyed = docs.withColumns({"_id": id_key(), "_hash": F.xxhash64("text")})
-    text = F.coalesce("_kept", "text")
-    fresh = {"text": text} | ({"n_chars": F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(F.char_length("_kept"))} if "n_chars" in docs.columns else {})
-    return keyed.join(cut, _KEYS, "left").withColumns(fresh).select(*docs.columns)
+    fresh = {"text": F.coalesce("_kept", "_row.text"), "n_chars": F.when(F.col("_kept").isNull(), F.col("_row.n_chars") if "n_chars" in docs.columns else None).otherwise(F.char_length("_kept"))}
+    return with_row(docs).join(cut, _KEYS, "left").select(*[fresh.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])

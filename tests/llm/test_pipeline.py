@@ -7,7 +7,12 @@ from test_ngram_join import brute as linked
 from test_packing import check_ids, check_layout
 from test_suffix_dedup import brute as repeats
 
-from paircast.llm import decontaminate
+from pyspark.sql import functions as F
+
+from paircast.llm import decontaminate, language
+
+#: What the stages call their own columns.
+OWN_NAMES = ("_id", "_hash", "_copy", "_kept", "_language", "_row", "once", "kept")
 
 
 def cut(text, others, window=400):
@@ -53,13 +58,24 @@ def test_against_brute_force(spark, tmp_path):
 def test_stages_keep_columns_and_take_empty_tables(spark, sf_dir):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         for docs in (frame(spark, awkward(), clash=True), frame(spark, [])):
-            assert stage(spark, docs, sf_dir).columns == docs.columns, name
+            docs = docs.withColumns({c: F.lit("x") for c in OWN_NAMES})
+            kept = stage(spark, docs, sf_dir)
+            assert kept.columns == docs.columns, name
+            for r in kept.collect():
+                assert all(r[c] == "x" for c in OWN_NAMES), name
     assert corpus_pipeline.STAGES[-1][1](spark, frame(spark, []), sf_dir).count() == 0
 
 
+def test_numbers_and_signs_are_no_letters(spark):
+    docs = frame(spark, [(i, t, None) for i, t in enumerate(["½ ² Ⅷ", "१२", "ª", "日本", "é"])])
+    labelled = frame(spark, [(9, "some words of a language " * 9, "en"), (10, "quelques mots d'une langue " * 9, "fr")])
+    got = {r.doc_id: r.lang_pred for r in language.identify(docs, labelled).collect()}
+    assert [got[i] == "und" for i in range(5)] == [True, True, False, False, False]
+
+
 def test_registered():
     from paircast.llm.queries import ORACLES, QUERIES
 
     assert "pipeline" in QUERIES and "pipeline" not in ORACLES
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(q.startswith(f"op{n}_") for q in QUERIES) == 1
