@@ -7,6 +7,7 @@ operator says otherwise.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +20,8 @@ BATCH_BYTES = 3 << 19
 NULL_ID = -(2**63)
 
 U64 = np.uint64
+#: glibc's call that returns freed memory, where there is one.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 _BASE = 0x9E3779B97F4A7C15
 _rng = np.random.default_rng(20240607)
 #: A random 64-bit code for every byte value.
@@ -61,11 +64,14 @@ class _Powers:
         self.up = self.down = np.ones(1, np.uint64)
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            up, down = np.full(n, _BASE, np.uint64), np.full(n, pow(_BASE, -1, 2**64), np.uint64)
-            up[0] = down[0] = 1
-            self.up, self.down = np.cumprod(up), np.cumprod(down)
-        return self.up[:n], self.down[:n]
+        if len(self.up) >= n:
+            return self.up[:n], self.down[:n]
+        up, down = np.full(n, _BASE, np.uint64), np.full(n, pow(_BASE, -1, 2**64), np.uint64)
+        up[0] = down[0] = 1
+        up, down = np.cumprod(up, out=up), np.cumprod(down, out=down)
+        if n <= 2 * BATCH_BYTES:  # those of one very long text are not kept
+            self.up, self.down = up, down
+        return up, down
 
 
 _powers = _Powers()
@@ -129,8 +135,19 @@ def words_of(text: str, table: np.ndarray) -> list[bytes]:
     return [w.word(i) for i in range(len(w.start))]
 
 
+def give_back() -> None:
+    """Return memory that earlier batches and tasks of this worker have freed to the system.
+
+    Workers live on between tasks and stages beside the executor's heap.
+    """
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def blobs_of(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """Texts as UTF-8 bytes; null is empty."""
+    give_back()
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 

@@ -25,7 +25,7 @@ import regex
 import zstandard
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from paircast.llm.common import with_row
+from paircast.llm.common import give_back, with_row
 
 UNKNOWN = "und"
 #: The sample: rows for each language, characters of each row.
@@ -88,6 +88,7 @@ def classifier(dictionaries: dict[str, bytes], margin: float = MARGIN, evidence:
     def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         sizer = Sizer(dictionaries)
         for texts in batches:
+            give_back()
             rows = []
             for text in texts:
                 if text is None or not sizer.names or not _LETTER.search(text):

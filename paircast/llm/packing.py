@@ -28,7 +28,7 @@ import zlib
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from paircast.llm.common import partitions, record
+from paircast.llm.common import give_back, partitions, record
 from paircast.llm.tokens import encode_whole
 from paircast.session import stored
 
@@ -45,6 +45,7 @@ def _cut(tokenizer: str, end_id: int, capacity: int):
 
     def run(batches):
         for batch in batches:
+            give_back()
             rows: dict[str, list] = {f.name: [] for f in _PIECES}
             for doc_id, text in zip(batch.column("doc_id").cast(pa.int64()).to_pylist(), batch.column("text").to_pylist()):
                 ids = encode_whole(tokenizer, text) + end

@@ -34,8 +34,8 @@ _MARKED = re.compile(r"([^\W\d_]+)(\W+)")
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _SPELT = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 _CUT = re.compile(f"(?<=[{_SAFE}])(?=[ \n][{_SAFE}])")
-#: Pieces in one of the two generations that a worker remembers: about 65 MB.
-REMEMBERED = 400_000
+#: Pieces in one of the two generations that a worker remembers: about 33 MB.
+REMEMBERED = 200_000
 
 
 def _packed(ids: list[int]) -> bytes:
