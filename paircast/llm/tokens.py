@@ -34,8 +34,9 @@ _MARKED = re.compile(r"([^\W\d_]+)(\W+)")
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _SPELT = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 _CUT = re.compile(f"(?<=[{_SAFE}])(?=[ \n][{_SAFE}])")
-#: Pieces in one of the two generations that a worker remembers: about 33 MB.
-REMEMBERED = 200_000
+#: Pieces in one of the two generations that a worker remembers: about 33 MB of words, or 130 MB of pieces with
+#: their white space and case, of which there are several for a word.
+REMEMBERED, REMEMBERED_AS_WRITTEN = 200_000, 800_000
 
 
 def _packed(ids: list[int]) -> bytes:
@@ -53,14 +54,17 @@ class _Ids(dict):
             raise ValueError("added tokens are only supported where they match a text as it is written")
         self.special = {t.content: i.to_bytes(4, "little") for i, t in added.items()}
         self.parting = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
-        self.folds = False
+        self.folds = self.spelt = False
         # Where neither case nor white space leaves a trace in the ids, pieces that differ in them only are one.
         self.folds = len({tuple(tokenizer.encode(t, add_special_tokens=False).ids) for t in ("ab", "Ab", " aB", "\nAB")}) == 1
+        # Where case and space count, whether the model takes words with them as byte-level spelling has them.
+        tries = ("word", " Word", " q", "zQXj", " aaaaB")
+        self.spelt = not self.folds and all(tokenizer.encode(t, add_special_tokens=False).ids == [token.id for token in self.model.tokenize(t.translate(_SPELT))] for t in tries)
 
         self.older: dict[str, bytes] = {}
 
     def keep(self, piece: str, ids: bytes) -> bytes:
-        if len(self) >= REMEMBERED:
+        if len(self) >= (REMEMBERED if self.folds else REMEMBERED_AS_WRITTEN):
             self.older = dict(self)
             self.clear()
         self[piece] = ids
@@ -73,6 +77,10 @@ class _Ids(dict):
             # One word as the model gets it: nothing to normalise or to cut.
             spelt = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_SPELT)
             return self.keep(piece, _packed([token.id for token in self.model.tokenize(spelt)]))
+        word = piece.removeprefix(" ")
+        if self.spelt and word.isascii() and word.isalpha():
+            # Letters after a space at most are one word of the model as well.
+            return self.keep(piece, _packed([token.id for token in self.model.tokenize(piece.translate(_SPELT))]))
         return self.keep(piece, _packed(self.tokenizer.encode(piece, add_special_tokens=False).ids))
 
     def of_words(self, words: list[str]) -> bytes:
