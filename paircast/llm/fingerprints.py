@@ -22,15 +22,17 @@ from bisect import bisect_left
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window, functions as F
 
-from paircast.llm.common import BATCH_BYTES, record
+from paircast.llm.common import BATCH_BYTES, flat, partitions, record
 
 #: Bytes of a chunk: least (no less than the hash's 32), normal, largest.
 LEAST, NORMAL, LARGEST = 32, 128, 1024
 #: Zero bits asked for before and after the normal size.
 STRICT_BITS, LOOSE_BITS = 9, 5
+#: Ranges of ids for each shuffle partition.
+RANGES = 2
 
 _GEAR = np.random.default_rng(1203).integers(0, 2**32, 256, dtype=np.uint32)
 
@@ -156,12 +158,26 @@ def _rows(batch: pa.RecordBatch, column: str = "text"):
     return batch.column("doc_id").cast(pa.int64()).to_pylist(), [t or "" for t in batch.column(column).to_pylist()]
 
 
+def _runs(batches):
+    """The rows of a sorted partition, cut where a range begins: (range, documents) as batches."""
+    for batch in batches:
+        if batch.num_rows:
+            place = flat(batch.column("place")).to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(place[1:] != place[:-1]) + 1).tolist(), len(place)]
+            for begin, end in zip(cuts, cuts[1:]):
+                yield int(place[begin]), batch.slice(begin, end - begin)
+
+
 def _within(batches):
-    """All documents of a sorted partition but the last."""
+    """All documents of each sorted range but the last."""
     ids: list = []
     texts: list[str] = []
-    size = 0
-    for batch in batches:
+    size, place = 0, None
+    for own, batch in _runs(batches):
+        if own != place:
+            if len(ids) > 1:
+                yield _compare(ids[:-1], texts[:-1], texts[1:])
+            ids, texts, size, place = [], [], 0, own
         for doc_id, text in zip(*_rows(batch)):
             ids.append(doc_id)
             texts.append(text)
@@ -173,17 +189,25 @@ def _within(batches):
         yield _compare(ids[:-1], texts[:-1], texts[1:])
 
 
+_ENDS = pa.schema([("place", pa.int32()), ("head", pa.string()), ("doc_id", pa.int64()), ("text", pa.string())])
+
+
 def _ends(batches):
-    """The first and the last document of a sorted partition."""
-    head = last = None
-    for batch in batches:
-        if batch.num_rows:
-            if head is None:
-                head = _rows(batch.slice(0, 1))[1][0]
-            last = batch.slice(batch.num_rows - 1)
-    if head is not None:
+    """The first and the last document of each sorted range."""
+
+    def row():
         (doc_id,), (text,) = _rows(last)
-        yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "head": [head], "doc_id": pa.array([doc_id], pa.int64()), "text": [text]})
+        return record(_ENDS, place=[place], head=[head], doc_id=[doc_id], text=[text])
+
+    place = head = last = None
+    for own, batch in _runs(batches):
+        if own != place:
+            if last is not None:
+                yield row()
+            place, head = own, _rows(batch.slice(0, 1))[1][0]
+        last = batch.slice(batch.num_rows - 1)
+    if last is not None:
+        yield row()
 
 
 def _across(batches):
@@ -193,19 +217,39 @@ def _across(batches):
             yield _compare(ids, texts, _rows(batch, "next")[1])
 
 
+def _placed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and place: the number of the range of ids that a document is in, descending ids first.
+
+    The bounds are quantiles of the ids, found once and written into the plan,
+    so that every reading of it sees the same ranges.
+    """
+    spark = docs.sparkSession
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    n = RANGES * partitions(spark)
+    found = texts.agg(F.percentile_approx("doc_id", [(k + 1) / n for k in range(n - 1)], 10 * n)).first()[0] if n > 1 else None
+    bounds = sorted({-float(b) for b in found or []})
+    if not bounds:
+        return texts.withColumn("place", F.col("doc_id").isNull().cast("int"))
+    cut = Bucketizer(splits=[-float("inf"), *bounds, float("inf")], inputCol="_falling", outputCol="_range")
+    ranged = cut.transform(texts.withColumn("_falling", F.coalesce(-F.col("doc_id").cast("double"), F.lit(0.0))))
+    return ranged.select("doc_id", "text", F.when(F.col("doc_id").isNull(), len(bounds) + 1).otherwise(F.col("_range")).cast("int").alias("place"))
+
+
 def compare_with_edits(docs: DataFrame) -> DataFrame:
     """Fingerprint every text, its edited form and its likeness to the next document.
 
     The next document is the one after it by descending doc_id (after the last:
-    the first). Texts move once, to be range-sorted by doc_id; neighbours then
-    share a partition, but for the last document of each. Those, one for each
-    partition, get their neighbour from the ends of all partitions.
+    the first). Texts move once, to be sorted by ranges of doc_id; neighbours
+    then share a range, but for the last document of each. Those, one for each
+    range, get their neighbour from the ends of all ranges. A range is a
+    function of doc_id, so that whether Spark reads one exchange twice or makes
+    two of them, with other partitions, the result is the same.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ordered = texts.repartitionByRange(F.desc("doc_id")).sortWithinPartitions(F.desc("doc_id"), F.xxhash64("text"))
+    placed = _placed(docs)
+    ordered = placed.repartitionByRange("place").sortWithinPartitions("place", F.desc("doc_id"), F.xxhash64("text"))
     inner = ordered.mapInArrow(_within, _DDL)
-    ends = ordered.mapInArrow(_ends, "part int, head string, doc_id long, text string")
-    by_part = Window.orderBy("part")  # one row per partition
-    first = F.first("head").over(by_part.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    pairs = ends.select("doc_id", "text", F.coalesce(F.lead("head").over(by_part), first).alias("next"))
+    ends = ordered.mapInArrow(_ends, "place int, head string, doc_id long, text string")
+    by_place = Window.orderBy("place")  # one row per range
+    first = F.first("head").over(by_place.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    pairs = ends.select("doc_id", "text", F.coalesce(F.lead("head").over(by_place), first).alias("next"))
     return inner.unionByName(pairs.mapInArrow(_across, _DDL))

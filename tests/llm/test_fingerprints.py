@@ -56,16 +56,18 @@ def brute(rows):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("parts", [1, 7])
-def test_against_brute_force(spark, parts):
+@pytest.mark.parametrize("parts, reuse", [(1, "true"), (7, "true"), (7, "false")])
+def test_against_brute_force(spark, parts, reuse):
     docs = awkward()
     spark.conf.set("spark.sql.shuffle.partitions", str(parts))
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.exchange.reuse", reuse)
     try:
         got = fp.compare_with_edits(frame(spark, docs, clash=True)).collect()
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.unset("spark.sql.exchange.reuse")
     rows = sorted(((d[0], d[1]) for d in docs), key=lambda r: (r[0] is None, -(r[0] or 0)))
     assert sorted((tuple(r) for r in got), key=repr) == brute(rows)
 
@@ -76,6 +78,24 @@ def test_one_and_none(spark):
     assert fp.compare_with_edits(frame(spark, [])).count() == 0
 
 
+def test_partitions_may_differ_between_readings(spark, sf_dir):
+    """Without reuse the two readings draw their own partitions; no document is lost."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        got = sorted((tuple(r) for r in fp.compare_with_edits(docs).collect()), key=repr)
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+    assert got == sorted((tuple(r) for r in fp.compare_with_edits(docs).collect()), key=repr)
+    assert len(got) == docs.count()
+
+
+def test_ids_beyond_doubles(spark):
+    rows = [(2**62 + k, f"text {k} " * 20, "en") for k in range(40)] + [(-(2**62) - k, f"low {k} " * 9, "en") for k in range(40)]
+    got = sorted((tuple(r) for r in fp.compare_with_edits(frame(spark, rows)).collect()), key=repr)
+    assert got == brute(sorted(((r[0], r[1]) for r in rows), key=lambda r: -r[0]))
+
+
 def test_registered_query(spark, sf_dir):
     from paircast.llm.queries import QUERIES
 
