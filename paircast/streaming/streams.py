@@ -7,13 +7,14 @@ kept with the sink's progress below the shared folder.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from paircast.operators.games import overlay_status
-from paircast.operators.ratings import fold_frames, rated_schema
+from paircast.operators.ratings import rated_schema, replay
 from paircast.session import scratch_path
 
 
@@ -27,10 +28,8 @@ def file_stream(spark: SparkSession, path: str, schema: T.StructType, name_filte
     return reader.parquet(path)
 
 
-def drain(stream: DataFrame, label: str) -> DataFrame:
-    """Run a stream over everything available and read back what it wrote."""
-    spark = stream.sparkSession
-    out = scratch_path(spark, label)
+def run_available(stream: DataFrame, out: str) -> None:
+    """Append what a stream makes of everything available; a later call goes on from where this one ended."""
     running = (
         stream.writeStream.outputMode("append")
         .format("parquet")
@@ -40,6 +39,13 @@ def drain(stream: DataFrame, label: str) -> DataFrame:
         .start()
     )
     running.awaitTermination()
+
+
+def drain(stream: DataFrame, label: str) -> DataFrame:
+    """Run a stream over everything available and read back what it wrote."""
+    spark = stream.sparkSession
+    out = scratch_path(spark, label)
+    run_available(stream, out)
     return spark.read.schema(stream.schema).parquet(out)
 
 
@@ -57,30 +63,71 @@ def live_overlay(board: DataFrame, live: DataFrame) -> DataFrame:
     return overlay_status(board, newest)
 
 
-_STATE = "teams array<bigint>, ratings array<double>, season string"
+class _Ratings(StatefulProcessor):
+    """Ratings of one pool, kept team by team: a batch reads and writes the teams it meets.
+
+    `turn` counts the seasons that began, so a season's start touches no team
+    until its next contest.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._teams = handle.getMapState("teams", "team_id bigint", "rating double, turn bigint")
+        self._season = handle.getValueState("season", "season string, turn bigint")
+
+    def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues) -> None:
+        for row in initialState.itertuples():
+            self._teams.updateValue((row.team_id,), (row.rating, 0))
+            self._season.update((row.season, 0))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows)).sort_values(["game_date", "game_id"])
+        season, turn = self._season.get() if self._season.exists() else (None, 0)
+        turns = []
+        for current in batch["season"]:
+            current = None if pd.isna(current) else current
+            turn += season is not None and current != season
+            season = current
+            turns.append(turn)
+        met = [int(team) for team in pd.unique(batch[["home_team_id", "away_team_id"]].to_numpy().ravel())]
+        ratings = {team: tuple(self._teams.getValue((team,))) for team in met if self._teams.containsKey((team,))}
+        rated = replay(batch.assign(turn=turns), ratings)
+        for team in met:
+            rating, since = ratings[team]
+            self._teams.updateValue((team,), (float(rating), int(since)))
+        self._season.update((season, int(turn)))
+        yield rated
 
+    def close(self) -> None:
+        pass
 
-def _rate(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """One micro-batch of a pool, continuing from its stored ratings."""
-    ratings, season = {}, None
-    if state.exists:
-        teams, values, season = state.get
-        ratings = dict(zip(teams, values))
-    rated, season = fold_frames(frames, ratings, season)
-    state.update((list(ratings), list(ratings.values()), season))
-    yield rated
 
+#: State kept team by team needs the store that holds single keys.
+_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
-def rate_stream(contests: DataFrame) -> DataFrame:
-    """Ratings carried across micro-batches, one state per pool.
+
+def rate_stream(contests: DataFrame, snapshot: DataFrame | None = None) -> DataFrame:
+    """Ratings carried across micro-batches and restarts, from a stored snapshot on if one is given.
 
     Batches must arrive in time order, as a file stream of daily files does;
-    inside a batch rows are sorted. A batch, not the pool's history, is what a
-    task holds, and `files_per_batch` of the source bounds it.
+    inside a batch rows are sorted. A task holds a pool's part of a batch, which
+    `files_per_batch` of the source bounds, and the teams met in it. The
+    snapshot is read by the first batch only. The session must keep state by
+    key, see `keyed_state`.
     """
-    return contests.groupBy("pool").applyInPandasWithState(
-        _rate, rated_schema(contests), _STATE, "append", GroupStateTimeout.NoTimeout
-    )
+    initial = None if snapshot is None else snapshot.select("pool", "team_id", "rating", "season").groupBy("pool")
+    return contests.groupBy("pool").transformWithStateInPandas(_Ratings(), rated_schema(contests), "append", "none", initial)
+
+
+@contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside keep their state in the store by key; a stream must be restarted in it as well."""
+    name, provider = _STORE
+    before = spark.conf.get(name)
+    spark.conf.set(name, provider)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def backfill_stream(predictions: DataFrame, results: DataFrame, delay: str = "7 days", within: str | None = None) -> DataFrame:

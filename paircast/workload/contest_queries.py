@@ -315,6 +315,26 @@ elo AS (
   FROM g JOIN r ON g.season = r.season AND r.rn = g.rn - 1)"""
 
 
+# One pool over all seasons: ratings move towards the start where a season follows another.
+SEASONS_ELO_SQL = f"""{T.CONTESTS_SQL},
+g AS (SELECT *, coalesce(season <> lag(season) OVER (ORDER BY rn), FALSE) AS began FROM (
+      SELECT season, game_id, home_team_id, away_team_id, CASE WHEN home_wl = 'W' THEN 1 ELSE 0 END AS won,
+             row_number() OVER (ORDER BY game_date, game_id) AS rn FROM contests)),
+r(rn, st) AS (
+  SELECT CAST(0 AS BIGINT), list_transform(range(30), lambda x: CAST(1500 AS DOUBLE))
+  UNION ALL
+  SELECT rn, list_transform(range(30), lambda i: CASE
+      WHEN i = home_team_id THEN st[i + 1] + 20 * (won - p) WHEN i = away_team_id THEN st[i + 1] - 20 * (won - p) ELSE st[i + 1] END)
+  FROM (SELECT *, 1 / (1 + pow(CAST(10 AS DOUBLE), (st[away_team_id + 1] - st[home_team_id + 1] - 100) / 400)) AS p
+        FROM (SELECT g.*, CASE WHEN began THEN list_transform(r.st, lambda x: CAST(0.75 AS DOUBLE) * x + CAST(375 AS DOUBLE)) ELSE r.st END AS st
+              FROM r JOIN g ON g.rn = r.rn + 1))),
+elo AS (
+  SELECT game_id, st[home_team_id + 1] AS elo_home, st[away_team_id + 1] AS elo_away,
+         1 / (1 + pow(CAST(10 AS DOUBLE), (st[away_team_id + 1] - st[home_team_id + 1] - 100) / 400)) AS elo_prob_home
+  FROM (SELECT g.*, CASE WHEN began THEN list_transform(r.st, lambda x: CAST(0.75 AS DOUBLE) * x + CAST(375 AS DOUBLE)) ELSE r.st END AS st
+        FROM g JOIN r ON g.rn = r.rn + 1))"""
+
+
 def _rated(spark, sf_dir):
     return R.elo_ratings(G.valid_contests(T.game_log(spark, sf_dir)), pool="season")
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from paircast.operators.games import valid_contests
-from paircast.session import scratch_path
+from paircast.operators.ratings import elo_current, elo_ratings
+from paircast.session import scratch_path, stored
+from paircast.sources.files import read_ratings, write_ratings
 from paircast.streaming import streams as S
 from paircast.workload import tables as T
 from paircast.workload.contest_queries import ELO_SQL
@@ -51,11 +53,24 @@ def stream_status(spark, sf_dir):
     f"WITH RECURSIVE {ELO_SQL} SELECT season AS pool, {i8('game_id')}, {r6('elo_home')}, {r6('elo_away')}, {r6('elo_home - elo_away', 'elo_diff')}, {r6('elo_prob_home')} FROM elo",
 )
 def stream_elo(spark, sf_dir):
-    contests = valid_contests(T.game_log(spark, sf_dir)).select(
+    """Rated in a batch up to a day, stored, and rated on by a stream that is restarted for every later landing."""
+    contests = stored(valid_contests(T.game_log(spark, sf_dir)), "rated-contests")
+    first, last = contests.agg(F.min("game_date"), F.max("game_date")).first()
+    cuts = [first + (last - first) * i / 4 for i in (1, 2, 3)] + [last]
+    earlier = contests.filter(F.col("game_date") <= cuts[0])
+    ratings, landed, out = (scratch_path(spark, label) for label in ("ratings", "landed", "rated"))
+    write_ratings(elo_current(earlier, pool="season"), ratings, str(cuts[0]))
+    narrow = contests.select(
         F.col("season").alias("pool"), "game_date", "game_id", "home_team_id", "away_team_id",
         (F.col("home_wl") == "W").cast("int").alias("home_won"), "season",
     )
-    return tidy(S.drain(S.rate_stream(_staged(contests, "contests")), "ratings"))
+    with S.keyed_state(spark):
+        for after, until in zip(cuts, cuts[1:]):
+            narrow.filter((F.col("game_date") > after) & (F.col("game_date") <= until)).write.mode("append").parquet(landed)
+            stream = S.rate_stream(S.file_stream(spark, landed, narrow.schema), read_ratings(spark, ratings))
+            S.run_available(stream, out)
+    streamed = spark.read.schema(stream.schema).parquet(out)
+    return tidy(elo_ratings(earlier, pool="season").unionByName(streamed))
 
 
 @query(

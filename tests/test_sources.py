@@ -94,23 +94,63 @@ def test_odds_files(spark, tmp_path):
     assert files.read_odds_snapshots(spark, str(tmp_path / "past.json")).count() == 2
 
 
-def test_rating_stream_over_batches_equals_the_batch(spark, log, tmp_path):
-    """Daily files, several micro-batches: state must carry the ratings."""
+@pytest.fixture
+def landings(log, tmp_path):
+    """Contests of two seasons, a file for each of three spans of days, and a way to land them."""
     from paircast.operators.games import valid_contests
-    from paircast.operators.ratings import elo_ratings
 
-    contests = valid_contests(log).filter("game_date < date'1995-06-01'")
+    contests = valid_contests(log).filter("game_date between date'1995-03-01' and date'1996-02-01'")
     narrow = contests.select(
         F.lit("all").alias("pool"), "game_date", "game_id", "home_team_id", "away_team_id",
         (F.col("home_wl") == "W").cast("int").alias("home_won"), "season",
     )
-    cuts = ["1900-01-01", "1994-09-01", "1995-02-01", "1995-06-01"]
-    for lo, hi in zip(cuts, cuts[1:]):
-        part = narrow.filter((F.col("game_date") >= lo) & (F.col("game_date") < hi)).coalesce(1)
+    assert narrow.select("season").distinct().count() > 1
+    cuts = ["1995-03-01", "1995-07-01", "1995-11-15", "1996-02-02"]
+
+    def land(i):
+        part = narrow.filter((F.col("game_date") >= cuts[i]) & (F.col("game_date") < cuts[i + 1])).coalesce(1)
         part.write.mode("append").parquet(str(tmp_path / "in"))
-    source = streams.file_stream(spark, str(tmp_path / "in"), narrow.schema, files_per_batch=1)
-    streamed = {r.game_id: r.elo_home for r in streams.drain(streams.rate_stream(source), "t").collect()}
-    assert streamed == pytest.approx({r.game_id: r.elo_home for r in elo_ratings(contests).collect()})
+
+    return contests, narrow, cuts, land, str(tmp_path / "in")
+
+
+def _by_game(rated):
+    return {r.game_id: (r.elo_home, r.elo_away, r.elo_prob_home) for r in rated.collect()}
+
+
+def test_rating_stream_over_batches_equals_the_batch(spark, landings):
+    """Daily files, several micro-batches: state must carry the ratings."""
+    from paircast.operators.ratings import elo_ratings
+
+    contests, narrow, _, land, folder = landings
+    for i in range(3):
+        land(i)
+    source = streams.file_stream(spark, folder, narrow.schema, files_per_batch=1)
+    with streams.keyed_state(spark):
+        streamed = _by_game(streams.drain(streams.rate_stream(source), "t"))
+    assert streamed == _by_game(elo_ratings(contests))
+
+
+def test_rating_stream_goes_on_from_a_snapshot_and_after_restarts(spark, landings, tmp_path):
+    from paircast.operators.ratings import elo_current, elo_ratings
+    from paircast.sources.files import read_ratings, write_ratings
+
+    contests, narrow, cuts, land, folder = landings
+    earlier, later = contests.filter(F.col("game_date") < cuts[1]), contests.filter(F.col("game_date") >= cuts[1])
+    write_ratings(elo_current(earlier), f"{tmp_path}/ratings", cuts[1])
+    snapshot = read_ratings(spark, f"{tmp_path}/ratings")
+    whole = _by_game(elo_ratings(contests))
+    want = {r.game_id: whole[r.game_id] for r in later.select("game_id").collect()}
+    assert _by_game(elo_ratings(later, snapshot=snapshot, block_contests=40)) == want
+    for i in (1, 2):
+        land(i)
+        source = streams.file_stream(spark, folder, narrow.schema)
+        with streams.keyed_state(spark):
+            streams.run_available(streams.rate_stream(source, snapshot), f"{tmp_path}/out")
+    assert _by_game(spark.read.parquet(f"{tmp_path}/out")) == want
+    newest = lambda rows: {r.team_id: (r.rating, r.season) for r in rows.collect()}
+    assert newest(elo_current(later, snapshot=snapshot)) == newest(elo_current(contests))
+    assert newest(elo_current(contests.limit(0), snapshot=snapshot)) == newest(snapshot)
 
 
 def test_history_flags_with_decimals(spark, tmp_path):
