@@ -90,7 +90,7 @@ def probability_summary(scored: DataFrame, prob: str = "prob") -> DataFrame:
         F.min(prob).alias("min"),
         F.max(prob).alias("max"),
     )
-    median = exact_median(scored.select(prob), prob, F.floor(F.col(prob) * 1024))
+    median = exact_median(scored, prob)
     one = lambda df: df.withColumn("_one", F.lit(1))
     return one(moments).join(one(median), "_one").drop("_one")
 

@@ -5,9 +5,9 @@ key along its own order instead:
 
 * a *chunk* is a column that never decreases along the order (here the day);
   ranks are taken inside a chunk and shifted by the chunk's offset, which comes
-  from a table with one row per key and chunk. On a cluster a chunk is cut once
-  more into equal ranges of a numeric order column, so that one day with most of
-  the rows is no single task either;
+  from a table with one row per key and chunk. On a cluster the largest chunks
+  are cut once more at quantiles of the order, whatever its type, so that one
+  day with most of the rows is no single task either;
 * a *block* is a fixed number of consecutive rows of a key, together with a
   halo of rows copied from the block before it, so that any frame that reaches
   back at most `halo` rows is complete inside one block.
@@ -18,24 +18,60 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 BLOCK_ROWS = 2048
-PARTITIONS_PER_SLICE = 16
+MOST_SLICES = 64
+SAMPLES_PER_SLICE = 64
+BINS = 1024
 
 
 def _slice_count(df: DataFrame) -> int:
-    """Ranges per chunk, in step with the partitions the session is sized for."""
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // PARTITIONS_PER_SLICE
+    """Ranges per large chunk, in step with the partitions the session is sized for.
+
+    Below 32 partitions an even share of all rows is as large as what slices
+    would be made for. The result is the same with any number.
+    """
+    count = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 2
+    return min(count, MOST_SLICES) if count >= 16 else 1
+
+
+def _quantiles(df: DataFrame, chunk: str, order: list[str], slices: int) -> DataFrame:
+    """Upper bounds of the slices of the `slices` largest chunks, at most `slices` squared values.
+
+    All other chunks hold less than one part in `slices` of the rows. The
+    bounds are quantiles of a sample by hash: one row of each of 64 hash
+    classes per slice, so the sample depends on the rows alone and every reader
+    of the plan cuts at the same places.
+    """
+    largest = df.groupBy(chunk).agg(F.count(F.lit(1)).alias("_rows")).orderBy(F.desc("_rows"), chunk).limit(slices)
+    at = F.struct(*order)
+    picked = (
+        df.join(F.broadcast(largest.select(F.col(chunk).alias("_chunk"))), F.col(chunk).eqNullSafe(F.col("_chunk")))
+        .select("_chunk", at.alias("_at"), F.xxhash64(*order).alias("_hash"))
+        .groupBy("_chunk", F.pmod("_hash", F.lit(SAMPLES_PER_SLICE * slices)).alias("_class"))
+        .agg(F.min(F.struct("_hash", "_at")).alias("_least"))
+    )
+    ordered = F.array_sort(F.collect_list("_least._at"))
+    cuts = F.transform(F.sequence(F.lit(1), F.lit(slices - 1)), lambda i: F.get("_all", F.floor(i * F.size("_all") / slices).cast("int")))
+    return picked.groupBy("_chunk").agg(ordered.alias("_all")).select("_chunk", F.array_distinct(cuts).alias("_cuts"))
 
 
 def _sliced(df: DataFrame, chunk: str, order: list, slices: int | None) -> tuple[DataFrame, list[str]]:
-    """Add a finer chunk from ranges of the first order column, if it is a number."""
+    """Add a finer chunk from quantiles of the order columns; expressions among them and what follows are left out."""
     count = _slice_count(df) if slices is None else slices
-    first = order[0] if order and isinstance(order[0], str) else None
-    if count < 2 or first is None or df.schema[first].dataType.typeName() not in ("long", "integer", "double"):
+    named = []
+    for part in order:
+        if not isinstance(part, str):
+            break
+        named.append(part)
+    if count < 2 or not named:
         return df, [chunk]
-    bounds = df.agg(F.min(first).alias("low"), F.max(first).alias("high")).select(F.struct("low", "high")).scalar()
-    low, high = bounds["low"], bounds["high"]
-    share = (F.col(first) - low) / F.greatest((high - low).cast("double"), F.lit(1.0))
-    return df.withColumn("_slice", F.floor(share * count)), [chunk, "_slice"]
+    bounds = F.broadcast(_quantiles(df, chunk, named, count))
+    passed = F.size(F.filter("_cuts", lambda cut: cut <= F.struct(*named)))
+    return (
+        df.join(bounds, F.col(chunk).eqNullSafe(F.col("_chunk")), "left")
+        .withColumn("_slice", F.when(F.col("_cuts").isNull(), 0).otherwise(passed))
+        .drop("_chunk", "_cuts"),
+        [chunk, "_slice"],
+    )
 
 
 def _carried(df: DataFrame, keys: list[str], chunks: list[str], amounts: dict[str, Column]) -> DataFrame:
@@ -108,34 +144,41 @@ def with_running_counts(df: DataFrame, keys: list[str], chunk: str, order: list,
     return counted.withColumns(totals).drop("_slice", *[f"_before_{n}" for n in tests])
 
 
-def exact_median(df: DataFrame, value: str, chunk: Column, name: str = "median") -> DataFrame:
-    """Median over all rows: equal values are counted first, then ranked by chunk.
+def _nth(values: DataFrame, rank: int) -> float:
+    """The value of a rank (from 1) among non-null doubles `_v`, with `_n` copies each, by rounds of histograms.
 
-    `chunk` must never decrease as the value grows.
+    The first round goes by sign and binary exponent, later ones cut what is
+    left into equal ranges. Each round is one partial aggregate to a bounded
+    number of bins and keeps the bin that holds the rank, between its own least
+    and greatest value; it ends when they are the same. A range shrinks to one
+    bin of BINS, so a double's 52 bits are used up after a handful of rounds.
     """
-    counted = (
-        df.filter(F.col(value).isNotNull())
-        .groupBy(F.col(value).alias("_value"), chunk.alias("_chunk"))
-        .agg(F.count(F.lit(1)).alias("_copies"))
-    )
-    sizes = counted.groupBy("_chunk").agg(F.sum("_copies").alias("_size"))
-    in_order = Window.partitionBy(F.lit(0)).orderBy("_chunk")
-    offsets = sizes.select(
-        "_chunk",
-        F.coalesce(F.sum("_size").over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
-        F.sum("_size").over(Window.partitionBy(F.lit(0))).alias("_total"),
-    )
-    inside = Window.partitionBy("_chunk").orderBy("_value").rowsBetween(Window.unboundedPreceding, 0)
-    low, high = F.floor((F.col("_total") + 1) / 2), F.floor((F.col("_total") + 2) / 2)
-    middle_chunks = offsets.join(sizes, "_chunk").filter(
-        (F.col("_before") < high) & (F.col("_before") + F.col("_size") >= low)
-    )
-    ranked = (
-        counted.join(middle_chunks.select("_chunk", "_before", "_total"), "_chunk")
-        .withColumn("_last", F.sum("_copies").over(inside) + F.col("_before"))
-        .withColumn("_first", F.col("_last") - F.col("_copies") + 1)
-    )
-    covers = lambda at: (F.col("_first") <= at) & (F.col("_last") >= at)
-    return ranked.agg(
-        ((F.max(F.when(covers(low), F.col("_value"))) + F.max(F.when(covers(high), F.col("_value")))) / 2).alias(name)
-    )
+    size = F.floor(F.log2(F.abs("_v")))
+    exponent = F.when(F.col("_v") > 0, size + 2000).when(F.col("_v") < 0, -size - 2000).otherwise(0)
+    left, bin_of = values, F.when(F.abs("_v") == float("inf"), F.signum("_v") * 9999).otherwise(exponent)
+    while True:
+        bins = left.groupBy(bin_of.cast("long").alias("_bin")).agg(F.sum("_n").alias("n"), F.min("_v").alias("low"), F.max("_v").alias("high"))
+        for found in sorted(bins.collect(), key=lambda row: row["low"]):
+            if rank <= found["n"]:
+                break
+            rank -= found["n"]
+        low, high = found["low"], found["high"]
+        if low == high:
+            return low
+        left = values.filter(F.col("_v").between(low, high))
+        bin_of = F.floor((F.col("_v") - low) / (high - low) * BINS)
+
+
+def exact_median(df: DataFrame, value: str, name: str = "median") -> DataFrame:
+    """Median over all rows by selection, one row; null where there is no value.
+
+    Nothing is sorted or gathered: equal and nearly equal values are counted
+    where they are. NaN counts as no value.
+    """
+    number = F.col(value).cast("double")
+    values = df.select(number.alias("_v")).filter("_v is not null and not isnan(_v)").withColumn("_n", F.lit(1))
+    count = values.count()
+    ranks = {(count + 1) // 2, (count + 2) // 2} if count else set()
+    found = [_nth(values, rank) for rank in ranks]
+    middle = F.lit(sum(found) / len(found) if found else None).cast("double")
+    return df.sparkSession.range(1).select(middle.alias(name))

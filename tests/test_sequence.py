@@ -5,7 +5,7 @@ import statistics
 import pytest
 from pyspark.sql import Window, functions as F
 
-from paircast.operators import form
+from paircast.operators import form, sequence
 from paircast.operators.sequence import exact_median, own_rows, with_halo_blocks, with_running_counts, with_sequence
 
 
@@ -64,10 +64,46 @@ def test_form_does_not_depend_on_the_block_size(log, monkeypatch):
     assert rounded(wide).exceptAll(rounded(narrow)).count() == 0
 
 
-@pytest.mark.parametrize("values", [[1.0], [1.0, 2.0], [3.0, 1.0, 2.0, 2.0], [0.5] * 9 + [0.1, 0.9]])
+@pytest.mark.parametrize("kind", ["text", "number", "pair"])
+def test_one_day_with_all_rows_is_split_evenly(spark, kind):
+    """Ids of any type, 32 slices: no (key, day, slice) may hold 5 % of the rows."""
+    order = ["code", "id"] if kind == "pair" else ["id"]
+    made = {"text": F.concat(F.lit("g-"), F.hex("n")), "number": F.col("n") * F.col("n"), "pair": F.col("n")}[kind]
+    rows = spark.range(20_000).withColumnRenamed("id", "n")
+    rows = rows.select(F.lit(1).alias("key"), F.when(F.col("n") < 19_900, 7).alias("day"), F.lit("x").alias("code"), made.alias("id"))
+    parts, chunks = sequence._sliced(rows, "day", order, 32)
+    assert parts.groupBy("key", *chunks).count().agg(F.max("count")).first()[0] < 1000
+    split = with_sequence(rows.filter("day is not null"), ["key"], "day", order, slices=32)
+    plain = Window.partitionBy("key").orderBy("day", *order)
+    assert split.withColumn("plain", F.row_number().over(plain)).filter("seq <> plain").count() == 0
+    assert split.count() == 19_900
+
+
+def test_slices_follow_the_partitions(spark):
+    rows = spark.range(10)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for partitions, want in ((8, 1), (64, 32), (5000, sequence.MOST_SLICES)):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            assert sequence._slice_count(rows) == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+@pytest.mark.parametrize(
+    "values",
+    [
+        [1.0], [1.0, 2.0], [3.0, 1.0, 2.0, 2.0], [0.5] * 9 + [0.1, 0.9], [0.5 + i * 2.0**-53 for i in range(0, 40, 2)],
+        [-1e300, 1e300, -3.0, 0.0, 1e-310, 7.0], [0.25, 0.0, -0.0, -0.25], [float("inf"), 1.0, 2.0],
+    ],
+)
 def test_exact_median(spark, values):
-    rows = spark.createDataFrame([(v,) for v in values], "p double")
-    assert exact_median(rows, "p", F.floor(F.col("p") * 4)).first()[0] == statistics.median(values)
+    rows = spark.createDataFrame([(v,) for v in [*values, None, float("nan")]], "p double")
+    assert exact_median(rows, "p").first()[0] == statistics.median(values)
+
+
+def test_median_of_nothing(spark):
+    assert exact_median(spark.createDataFrame([(None,)], "p double"), "p").first()[0] is None
 
 
 def _series(spark, values, **options):
