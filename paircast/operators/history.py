@@ -21,14 +21,15 @@ def as_flag(column: str = "correct") -> Column:
     return F.expr(f"try_cast(try_cast({column} as double) as int)")
 
 
+def with_numbers(history: DataFrame) -> DataFrame:
+    """Numeric columns from text; what is no number is missing."""
+    names = [c for c in ("confidence", "home_win_prob", "model_agreement") if c in history.columns]
+    return history.withColumns({c: F.expr(f"try_cast({c} as double)") for c in names})
+
+
 def completed(history: DataFrame) -> DataFrame:
-    """Finished predictions with numeric columns; text that is no number is missing."""
-    numbers = {
-        c: F.expr(f"try_cast({c} as double)")
-        for c in ("confidence", "home_win_prob", "model_agreement")
-        if c in history.columns
-    }
-    return history.filter(is_completed()).withColumns({**numbers, "correct": as_flag()})
+    """Finished predictions with numeric columns."""
+    return with_numbers(history.filter(is_completed())).withColumn("correct", as_flag())
 
 
 def pending(history: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from paircast.constants import ARTICLES, ODDS_COLUMNS
 from paircast.functions.prediction import implied_probability
@@ -149,6 +149,68 @@ def first_named(df: DataFrame, name: str, search: str, order: list) -> DataFrame
     return df.filter(F.lower(F.col(name)).contains(search.lower())).orderBy(*order).limit(1)
 
 
+#: Longest substring in the name index, postings intersected for a word, and parts of a frequent posting list.
+GRAM, RAREST, SALTS = 3, 3, 16
+
+
+def _grams(text: Column, size: Column) -> Column:
+    """The distinct substrings of a size; of no characters, the empty one."""
+    starts = F.sequence(F.lit(1), F.length(text) - size + 1)
+    return F.when(F.length(text) >= size, F.array_distinct(F.transform(starts, lambda i: text.substr(i, size))))
+
+
+def _holding(words: DataFrame, names: DataFrame, key: str, name: str) -> DataFrame:
+    """Pairs (`word`, `_id`) of distinct lower-case words and the names that contain them.
+
+    Names are indexed by their substrings of up to GRAM characters. A word asks
+    for those of its own that the fewest names hold; names in all of these
+    postings are compared with the word. A posting list is split in SALTS
+    parts, so that a substring of a third of all names is no single task.
+    """
+    word, text = F.col("word"), F.col("_name")
+    texts = names.select(F.col(key).alias("_id"), F.lower(name).alias("_name")).filter("_name is not null")
+    asked = words.distinct().withColumn("_gram", F.explode(_grams(word, F.least(F.length(word), F.lit(GRAM)))))
+    held = F.array_compact(F.array(*[_grams(text, F.lit(size)) for size in range(GRAM + 1)]))
+    postings = texts.select("_id", F.explode(F.flatten(held)).alias("_gram")).join(asked.select("_gram").distinct(), "_gram", "left_semi")
+    sizes = postings.groupBy("_gram").agg(F.count(F.lit(1)).alias("_held"))
+    by_size = Window.partitionBy("word").orderBy(F.coalesce("_held", F.lit(0)), "_gram")
+    chosen = (
+        asked.join(sizes, "_gram", "left")
+        .withColumn("_place", F.row_number().over(by_size))
+        .filter(F.col("_place") <= RAREST)
+        .withColumn("_needed", F.count(F.lit(1)).over(Window.partitionBy("word")))
+    )
+    candidates = (
+        chosen.select("word", "_gram", "_needed", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("_part"))
+        .join(postings.withColumn("_part", F.pmod(F.xxhash64("_id"), F.lit(SALTS).cast("long"))), ["_gram", "_part"])
+        .groupBy("word", "_id")
+        .agg(F.count(F.lit(1)).alias("_met"), F.first("_needed").alias("_needed"))
+        .filter("_met >= _needed")
+    )
+    return candidates.join(texts, "_id").filter(F.contains(text, word)).select("word", "_id").distinct()
+
+
+def names_containing(searches: DataFrame, search: str, names: DataFrame, key: str, name: str) -> DataFrame:
+    """For every text of a search column, the keys of the names that hold any of its words, articles aside.
+
+    One row per distinct text and key. A null text or name matches nothing, nor
+    does a text of articles only.
+    """
+    asked = searches.select(search).distinct().withColumn("word", F.explode(_words(F.col(search))))
+    return asked.join(_holding(asked.select("word"), names, key, name), "word").select(search, F.col("_id").alias(key)).distinct()
+
+
+def first_names_containing(searches: DataFrame, search: str, names: DataFrame, key: str, name: str) -> DataFrame:
+    """For every text of a search column, the smallest key whose name contains the whole text.
+
+    Texts that no name contains have no row, nor has a null; every name
+    contains the empty text.
+    """
+    asked = searches.select(search).filter(F.col(search).isNotNull()).distinct().withColumn("word", F.lower(search))
+    first = _holding(asked.select("word"), names, key, name).groupBy("word").agg(F.min("_id").alias(key))
+    return asked.join(first, "word").drop("word")
+
+
 def value_edge(priced: DataFrame, prob: str = "home_win_prob") -> DataFrame:
     """Model minus market, in percentage points, where it is worth showing."""
     edge = F.col(prob) * 100 - F.col("home_implied_prob") * 100

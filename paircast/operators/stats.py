@@ -30,7 +30,7 @@ from paircast.functions.prediction import (
     roi_percent,
     strong_favorite,
 )
-from paircast.operators.history import completed, is_completed
+from paircast.operators.history import as_flag, completed, is_completed, with_numbers
 from paircast.operators.sequence import with_running_counts, with_sequence
 
 
@@ -265,8 +265,10 @@ def longest_streaks(history: DataFrame, order: list[str]) -> DataFrame:
 def stats_payload(history: DataFrame, now: str) -> DataFrame:
     """All breakdowns as one JSON record from a single scan of the history.
 
-    Each row joins one group per block; partial aggregation folds them to a
-    few dozen groups before the shuffle.
+    Each row joins the group of the whole history and, when it is completed,
+    one group for its entry in every block, period and filter; partial
+    aggregation folds them to less than a hundred groups before the shuffle,
+    and the record is put together from those.
     """
     instant = F.lit(now).cast("timestamp_ntz")
     member = lambda span: F.col("date").cast("timestamp_ntz") >= instant - F.make_dt_interval(F.lit(span))
@@ -278,52 +280,66 @@ def stats_payload(history: DataFrame, now: str) -> DataFrame:
         "time_rows": ([p[1] for p in TRAILING_PERIODS], [F.when(member(d), F.lit(label)) for d, label in TRAILING_PERIODS]),
         "day_rows": (list(WEEKDAYS), [weekday_name(F.col("date"))]),
     }
+    names = [name for name, *_ in filter_candidates()]
+    group = lambda block, label: F.struct(F.lit(block).alias("block"), label.alias("label"))
     entries = [
-        F.when(_rank_of(label, labels) > 0, F.struct(F.lit(block).alias("block"), label.alias("label"), _rank_of(label, labels).alias("ordinal")))
-        for block, (labels, labels_of_row) in blocks.items()
-        for label in labels_of_row
+        F.when(label.isin(labels), group(block, label)) for block, (labels, labels_of_row) in blocks.items() for label in labels_of_row
     ]
+    fitting = matching_filters(F.col("tier"), F.col("home_win_prob"), F.col("model_agreement"))
+    own = F.concat(
+        F.array(group("overall", F.lit("all"))),
+        F.array_compact(F.array(*entries)),
+        F.transform(fitting, lambda name: group("filter_rows", name)),
+    )
+    of_done = lambda value: F.when(F.col("_done"), value)
     groups = (
-        completed(history)
-        .withColumn("_home_won", _home_won())
-        .select("correct", "home_win_prob", "_home_won", F.explode(F.array_compact(F.array(*entries))).alias("_g"))
+        with_numbers(history)
+        .withColumns({"_done": is_completed(), "_flag": as_flag(), "_home_won": _home_won()})
+        .withColumn("_g", F.explode(F.filter(own, lambda g: F.col("_done") | (g["block"] == "overall"))))
         .groupBy("_g")
-        .agg(_n().alias("n"), _hits().alias("hits"), F.avg("home_win_prob").alias("prob"), F.avg("_home_won").alias("home"))
-        .select("_g.*", "n", "hits", "prob", "home")
+        .agg(
+            F.count_if("_done").alias("n"),
+            F.count_if(~F.col("_done")).alias("waiting"),
+            F.sum(of_done(F.col("_flag"))).alias("hits"),
+            F.avg(of_done(F.col("home_win_prob"))).alias("prob"),
+            F.avg(of_done(F.col("_home_won"))).alias("home"),
+            F.min(of_done(F.col("date"))).alias("since"),
+            F.max(of_done(F.col("date"))).alias("until"),
+        )
+        .select("_g.*", "n", "waiting", "hits", "prob", "home", "since", "until", (F.col("hits") / F.when(F.col("n") > 0, F.col("n")) * 100).alias("rate"))
     )
-    percent = lambda value: F.bround(value * 100, 1)
-    common = [F.col("label"), record(F.col("hits"), F.col("n")).alias("record"), percent(F.col("hits") / F.col("n")).alias("accuracy")]
+    tenths = lambda value: F.bround(value, 1)
+    common = [F.col("label"), record(F.col("hits"), F.col("n")).alias("record"), tenths(F.col("rate")).alias("accuracy")]
+    roi = tenths(roi_percent(F.col("hits"), F.when(F.col("n") > 0, F.col("n")), WIN_PROFIT)).alias("roi")
     extra = {
-        "tier_rows": [F.bround(roi_percent(F.col("hits"), F.col("n"), WIN_PROFIT), 1).alias("roi")],
-        "confidence_rows": [percent(F.col("prob")).alias("avg_prob")],
-        "home_prob_rows": [percent(F.col("home")).alias("home_win_rate")],
+        "tier_rows": [roi],
+        "confidence_rows": [tenths(F.col("prob") * 100).alias("avg_prob")],
+        "home_prob_rows": [tenths(F.col("home") * 100).alias("home_win_rate")],
     }
+
+    def listed(test: Column, order: list[Column], row: list[Column]) -> Column:
+        entry = F.struct(*[part.alias(f"_{i}") for i, part in enumerate(order)], F.struct(*row).alias("row"))
+        return F.transform(F.array_sort(F.collect_list(F.when(test, entry))), lambda e: e["row"])
+
+    of_block = lambda block: F.col("block") == block
     lists = [
-        F.transform(
-            F.array_sort(F.collect_list(F.when(F.col("block") == block, F.struct("ordinal", F.struct(*common, *extra.get(block, [])).alias("row"))))),
-            lambda entry: entry["row"],
-        ).alias(block)
-        for block in blocks
+        listed(of_block(block), [_rank_of(F.col("label"), labels)], [*common, *extra.get(block, [])]).alias(block)
+        for block, (labels, _) in blocks.items()
     ]
-    breakdowns = groups.agg(*lists)
-    head = overall(history).select(
-        (F.col("total") > 0).alias("has_data"),
-        F.struct(
-            "total", "pending", "correct", F.bround("accuracy", 1).alias("accuracy"),
-            F.col("date_min").cast("string").alias("date_min"), F.col("date_max").cast("string").alias("date_max"),
-        ).alias("overall"),
+    worth = of_block("filter_rows") & (F.col("n") >= MIN_FILTER_GAMES) & (F.col("rate") > BREAK_EVEN_ACCURACY)
+    best = [F.col("label").alias("name"), F.col("n").alias("games"), tenths(F.col("rate")).alias("accuracy"), roi]
+    filters = listed(worth, [-F.col("rate"), _rank_of(F.col("label"), names)], best)
+    whole = lambda value: F.max(F.when(of_block("overall"), value))
+    head = F.struct(
+        F.coalesce(whole(F.col("n")), F.lit(0)).alias("total"),
+        F.coalesce(whole(F.col("waiting")), F.lit(0)).alias("pending"),
+        whole(F.col("hits")).alias("correct"),
+        tenths(whole(F.col("rate"))).alias("accuracy"),
+        whole(F.col("since")).cast("string").alias("date_min"),
+        whole(F.col("until")).cast("string").alias("date_max"),
     )
-    best = top_filters(profitable_filters(history)).select(
-        F.struct(
-            (-F.col("accuracy")).alias("_sort"), "ordinal",
-            F.struct("name", F.col("n_games").alias("games"), F.bround("accuracy", 1).alias("accuracy"), F.bround("roi", 1).alias("roi")).alias("row"),
-        ).alias("_f")
-    ).agg(F.transform(F.array_sort(F.collect_list("_f")), lambda f: f["row"]).alias("filter_rows"))
-    # Three one-row tables side by side.
-    one = lambda df: df.withColumn("_one", F.lit(1))
-    joined = one(head).join(one(breakdowns), "_one").join(one(best), "_one")
-    return joined.select(
-        F.to_json(
-            F.struct("has_data", "overall", *blocks, "filter_rows", F.get("filter_rows", F.lit(0)).alias("best_filter"))
-        ).alias("payload")
+    record_of = groups.agg(head.alias("overall"), *lists, F.slice(filters, 1, 10).alias("filter_rows"))
+    has_data = (F.col("overall.total") > 0).alias("has_data")
+    return record_of.select(
+        F.to_json(F.struct(has_data, "overall", *blocks, "filter_rows", F.get("filter_rows", F.lit(0)).alias("best_filter"))).alias("payload")
     )

@@ -10,6 +10,9 @@ from paircast.constants import (
     CONFIDENCE_BUCKETS,
     CONFIDENCE_BUCKETS_COARSE,
     HOME_PROB_BUCKETS,
+    TIERS,
+    TRAILING_PERIODS,
+    WEEKDAYS,
 )
 from paircast.functions import prediction as P
 from paircast.operators import history as H
@@ -227,37 +230,86 @@ def longest_streaks(spark, sf_dir):
     return tidy(S.longest_streaks(T.history(spark, sf_dir), ["game_id"]))
 
 
-# The payload nests every block above; its parts are checked one by one.
-_BLOCKS = ("tier_rows", "confidence_rows", "agreement_rows", "home_prob_rows", "time_rows", "day_rows")
-_ROW = "array<struct<label:string,record:string,accuracy:double>>"
-
-
-def _block_sql(block: str, label: str, source: str = "done") -> str:
-    return f"SELECT '{block}' AS block, {label} AS label, CAST(sum(correct) AS VARCHAR) || '/' || CAST(count(*) AS VARCHAR) AS record FROM {source} WHERE {label} IS NOT NULL GROUP BY ALL"
-
-
-@query(
-    "stats_payload",
-    f"""WITH {T.HISTORY_SQL}, periods(days, span) AS (VALUES (3, 'Last 3 days'), (7, 'Last 7 days'), (14, 'Last 14 days'), (30, 'Last 30 days')),
-    recent AS (SELECT * FROM done JOIN periods ON CAST(date AS TIMESTAMP) >= TIMESTAMP '{NOW}' - to_days(days))
-    {' UNION ALL '.join([
-        _block_sql('tier_rows', 'tier'),
-        _block_sql('confidence_rows', bucket_sql('confidence', CONFIDENCE_BUCKETS)),
-        _block_sql('agreement_rows', bucket_sql('model_agreement', AGREEMENT_BUCKETS)),
-        _block_sql('home_prob_rows', bucket_sql('home_win_prob', HOME_PROB_BUCKETS)),
-        _block_sql('time_rows', 'span', 'recent'),
-        _block_sql('day_rows', 'dayname(date)'),
-    ])}""",
-)
+# Every field of the payload: blocks, filters, the best filter and the head, as rows.
+_BLOCK_ROW = "label:string,record:string,accuracy:double,roi:double,avg_prob:double,home_win_rate:double"
+_FILTER_ROW = "name:string,games:bigint,accuracy:double,roi:double"
+_BLOCKS = {
+    "tier_rows": "tier",
+    "confidence_rows": bucket_sql("confidence", CONFIDENCE_BUCKETS),
+    "agreement_rows": bucket_sql("model_agreement", AGREEMENT_BUCKETS),
+    "home_prob_rows": bucket_sql("home_win_prob", HOME_PROB_BUCKETS),
+    "time_rows": "span",
+    "day_rows": "dayname(date)",
+}
+_LABELS = {
+    "tier_rows": [t for t, _ in TIERS],
+    "confidence_rows": [b[2] for b in CONFIDENCE_BUCKETS],
+    "agreement_rows": [b[2] for b in AGREEMENT_BUCKETS],
+    "home_prob_rows": [b[2] for b in HOME_PROB_BUCKETS],
+    "time_rows": [label for _, label in TRAILING_PERIODS],
+    "day_rows": list(WEEKDAYS),
+}
+
+
+def _block_sql(block: str, label: str) -> str:
+    labels = ", ".join(f"'{name}'" for name in _LABELS[block])
+    source = "recent" if block == "time_rows" else "done"
+    return f"""SELECT '{block}' AS block, {label} AS label, list_position([{labels}], {label}) AS ordinal, count(*) AS n, sum(correct) AS hits,
+    avg(home_win_prob) AS prob, avg(CASE WHEN winner = home_team THEN 1 ELSE 0 END) AS home FROM {source} WHERE {label} IS NOT NULL GROUP BY ALL"""
+
+
+def _tenths(value: str, name: str, only: str = "TRUE") -> str:
+    return f"CASE WHEN {only} THEN {r6(f'round_even({value}, 1)', '_x').removesuffix(' AS _x')} END AS {name}"
+
+
+_PAYLOAD_SQL = f"""WITH {FILTERS_SQL}, periods(days, span) AS (VALUES {', '.join(f"({d}, '{label}')" for d, label in TRAILING_PERIODS)}),
+recent AS (SELECT * FROM done JOIN periods ON CAST(date AS TIMESTAMP) >= TIMESTAMP '{NOW}' - to_days(days)),
+blocks AS ({' UNION ALL '.join(_block_sql(block, label) for block, label in _BLOCKS.items())}),
+best AS (SELECT *, row_number() OVER (ORDER BY accuracy DESC, ordinal) AS place FROM filters),
+head AS (SELECT count(correct) AS n, sum(correct) AS hits, count(*) - count(correct) AS waiting, min(CASE WHEN correct IS NOT NULL THEN date END) AS since,
+         max(CASE WHEN correct IS NOT NULL THEN date END) AS until FROM history)
+SELECT block, row_number() OVER (PARTITION BY block ORDER BY ordinal) AS place, label, CAST(hits AS VARCHAR) || '/' || CAST(n AS VARCHAR) AS record,
+  {_tenths('hits / n * 100', 'accuracy')}, {_tenths('(hits * CAST(0.41 AS DOUBLE) - (n - hits)) / n * 100', 'roi', "block = 'tier_rows'")},
+  {_tenths('prob * 100', 'avg_prob', "block = 'confidence_rows'")}, {_tenths('home * 100', 'home_win_rate', "block = 'home_prob_rows'")}, CAST(NULL AS BIGINT) AS games FROM blocks
+UNION ALL SELECT shown, place, name, NULL, {_tenths('accuracy', 'accuracy')}, {_tenths('roi', 'roi')}, NULL, NULL, {i8('n_games', 'games')}
+  FROM best JOIN (VALUES ('filter_rows', 10), ('best_filter', 1)) AS part(shown, most) ON place <= most
+UNION ALL SELECT 'overall', 1, CAST(since AS VARCHAR) || ' to ' || CAST(until AS VARCHAR), CAST(hits AS VARCHAR) || '/' || CAST(n AS VARCHAR) || '/' || CAST(waiting AS VARCHAR),
+  {_tenths('hits / n * 100', 'accuracy')}, NULL, NULL, NULL, {i8('n', 'games')} FROM head"""
+
+
+@query("stats_payload", _PAYLOAD_SQL)
 def stats_payload(spark, sf_dir):
-    schema = "struct<" + ",".join(f"{b}:{_ROW}" for b in _BLOCKS) + ">"
-    parsed = S.stats_payload(T.history(spark, sf_dir), NOW).select(F.from_json("payload", schema).alias("_p"))
-
-    def tagged_rows(block):
-        return F.transform(f"_p.{block}", lambda r: F.struct(F.lit(block).alias("block"), r["label"].alias("label"), r["record"].alias("record")))
-
-    tagged = F.flatten(F.array(*[tagged_rows(b) for b in _BLOCKS]))
-    return parsed.select(F.explode(tagged).alias("_r")).select("_r.*")
+    schema = "struct<" + ",".join(
+        [
+            "has_data:boolean,overall:struct<total:bigint,pending:bigint,correct:bigint,accuracy:double,date_min:string,date_max:string>",
+            *[f"{block}:array<struct<{_BLOCK_ROW}>>" for block in _BLOCKS],
+            f"filter_rows:array<struct<{_FILTER_ROW}>>,best_filter:struct<{_FILTER_ROW}>",
+        ]
+    ) + ">"
+    parsed = S.stats_payload(T.history(spark, sf_dir), NOW).select(F.from_json("payload", schema).alias("_p")).select("_p.*")
+    none = lambda kind: F.lit(None).cast(kind)
+
+    def row(block, place, label, record, accuracy, roi, avg_prob, home_win_rate, games):
+        parts = {"label": label, "record": record, "accuracy": accuracy, "roi": roi, "avg_prob": avg_prob, "home_win_rate": home_win_rate, "games": games}
+        return F.struct(F.lit(block).alias("block"), place.cast("long").alias("place"), *[part.alias(name) for name, part in parts.items()])
+
+    def of_block(block):
+        return F.transform(block, lambda r, i: row(block, i + 1, r["label"], r["record"], r["accuracy"], r["roi"], r["avg_prob"], r["home_win_rate"], none("long")))
+
+    def of_filter(block, r, place):
+        return row(block, place, r["name"], none("string"), r["accuracy"], r["roi"], none("double"), none("double"), r["games"])
+
+    head = F.col("overall")
+    counts = F.concat_ws("/", *[head[name].cast("string") for name in ("correct", "total", "pending")])
+    days = F.concat(head["date_min"], F.lit(" to "), head["date_max"])
+    single = [
+        F.when(F.col("has_data"), row("overall", F.lit(1), days, counts, head["accuracy"], none("double"), none("double"), none("double"), head["total"])),
+        F.when(F.col("best_filter").isNotNull(), of_filter("best_filter", F.col("best_filter"), F.lit(1))),
+    ]
+    rows = F.concat(
+        F.array_compact(F.array(*single)), F.transform("filter_rows", lambda r, i: of_filter("filter_rows", r, i + 1)), *[of_block(b) for b in _BLOCKS]
+    )
+    return tidy(parsed.select(F.explode(rows).alias("_r")).select("_r.*"))
 
 
 # --- row-wise predictions ---------------------------------------------------

@@ -160,6 +160,32 @@ def team_search(spark, sf_dir):
     return tidy(O.first_named(T.table(spark, sf_dir, "part"), "p_name", "Gear", ["p_partkey"]), "p_partkey", "p_name")
 
 
+@query(
+    "team_name_matches",
+    f"""WITH searches AS (SELECT DISTINCT 'The ' || p_name AS search FROM part),
+    words AS (SELECT DISTINCT search, unnest(string_split(lower(search), ' ')) AS word FROM searches)
+    SELECT DISTINCT search, {i8('p_partkey')} FROM words JOIN part ON contains(lower(p_name), word) WHERE word <> 'the'""",
+)
+def team_name_matches(spark, sf_dir):
+    """Every distinct name as a search against all names."""
+    parts = T.table(spark, sf_dir, "part")
+    searches = parts.select(F.concat(F.lit("The "), F.col("p_name")).alias("search"))
+    return tidy(O.names_containing(searches, "search", parts, "p_partkey", "p_name"))
+
+
+@query(
+    "team_searches",
+    f"""WITH searches AS (SELECT DISTINCT upper(substr(p_name, 2, 1 + p_partkey % 7)) AS search FROM part)
+    SELECT search, {i8('min(p_partkey)', 'p_partkey')} FROM searches JOIN part ON contains(lower(p_name), lower(search)) GROUP BY search""",
+)
+def team_searches(spark, sf_dir):
+    """Pieces of names, of 1 to 7 characters, each with the first name that contains it."""
+    parts = T.table(spark, sf_dir, "part")
+    searches = parts.select(F.upper(F.expr("substr(p_name, 2, cast(1 + p_partkey % 7 as int))")).alias("search"))
+    return tidy(O.first_names_containing(searches, "search", parts, "p_partkey", "p_name"))
+
+
+
 _AMERICAN = "(l_partkey % 601 - 300)"
 
 
