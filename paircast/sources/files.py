@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from paircast.functions.boxscore import season_label
 from paircast.operators.history import as_flag, new_rows
 from paircast.sources import schemas as S
 
@@ -93,6 +94,31 @@ def write_by_season(log: DataFrame, path: str, replace_all: bool = False) -> Non
     )
 
 
+def read_by_season(
+    spark: SparkSession, path: str, schema: T.StructType, season: str | None = None, exclude: str | None = None,
+    since: str | None = None, until: str | None = None, among: DataFrame | None = None,
+) -> DataFrame:
+    """Rows of a log that `write_by_season` stored; files of other seasons are not opened.
+
+    One season, all but one, or the days from `since` to `until`, which also
+    name the seasons they lie in; within those files the days are pushed down.
+    `among` is a frame of seasons (`season`) whose values prune while the query
+    runs. Rows without a season or day are in no answer but the whole log.
+    """
+    log, label = spark.read.schema(schema).parquet(path).select(schema.names), F.col("season")
+    if season is not None:
+        log = log.filter(label == season)
+    if exclude is not None:
+        log = log.filter(label != exclude)
+    if since is not None:
+        day = F.lit(since).cast("date")
+        log = log.filter((label >= season_label(day)) & (F.col("game_date") >= day))
+    if until is not None:
+        day = F.lit(until).cast("date")
+        log = log.filter((label <= season_label(day)) & (F.col("game_date") <= day))
+    return log if among is None else log.join(among.select("season").distinct(), "season", "left_semi").select(log.columns)
+
+
 def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     writer = df.write.mode("overwrite")
     writer.csv(path, header=True) if fmt == "csv" else writer.format(fmt).save(path)

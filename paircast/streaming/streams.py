@@ -16,6 +16,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from paircast.operators.games import overlay_status
 from paircast.operators.ratings import rated_schema, replay
 from paircast.session import scratch_path
+from paircast.sources.files import exists
 
 
 def file_stream(spark: SparkSession, path: str, schema: T.StructType, name_filter: str | None = None, files_per_batch: int | None = None) -> DataFrame:
@@ -54,6 +55,28 @@ def dedupe(rows: DataFrame, keys: list[str], event_time: str, delay: str) -> Dat
     return rows.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(keys)
 
 
+def first_deliveries(rows: DataFrame, keys: list[str], written: DataFrame, expiry: str = "1 day") -> DataFrame:
+    """Rows whose key was delivered neither before in this run nor in earlier runs.
+
+    Keys of this run are state, which expires with the time of arrival, so its
+    size is that of the deliveries of one expiry, whatever their event times,
+    and no row is too late. Keys of earlier runs are looked up in what those
+    wrote (`written`). A run over what is available must therefore be shorter
+    than the expiry. Null is a key like others; of rows with one key any may stay.
+    """
+    arrived = rows.withColumn("_arrived", F.current_timestamp()).withWatermark("_arrived", expiry)
+    fresh = arrived.dropDuplicatesWithinWatermark(keys).drop("_arrived")
+    known = written.select(*[F.col(k).alias(f"_known_{k}") for k in keys])
+    same = [F.col(k).eqNullSafe(F.col(f"_known_{k}")) for k in keys]
+    return fresh.join(known, same, "left_anti")
+
+
+def written_so_far(spark: SparkSession, out: str, schema: T.StructType) -> DataFrame:
+    """What earlier runs wrote to a table, nothing before the first one."""
+    reader = spark.read.schema(schema)
+    return reader.parquet(out) if exists(spark, out) else spark.createDataFrame([], schema)
+
+
 def live_overlay(board: DataFrame, live: DataFrame) -> DataFrame:
     """Status of a polled board: a stream of scheduled rows against the live table.
 

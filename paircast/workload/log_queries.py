@@ -31,12 +31,12 @@ SEASON = "1996-97"
 
 @query("scan_season", f"WITH {T.LOG_SQL} SELECT {i8('game_id')}, game_date, season, {i8('team_id')}, wl, {i8('pts')} FROM log WHERE season = '{SEASON}'")
 def scan_season(spark, sf_dir):
-    return tidy(G.in_season(T.game_log(spark, sf_dir), SEASON), "game_id", "game_date", "season", "team_id", "wl", "pts")
+    return tidy(T.season_log(spark, sf_dir, season=SEASON), "game_id", "game_date", "season", "team_id", "wl", "pts")
 
 
 @query("season_filter", f"WITH {T.LOG_SQL} SELECT season, count(*) AS n, {i8('sum(pts)', 'pts')} FROM log WHERE season <> '{SEASON}' GROUP BY season")
 def season_filter(spark, sf_dir):
-    rest = G.in_season(T.game_log(spark, sf_dir), SEASON, exclude=True)
+    rest = T.season_log(spark, sf_dir, exclude=SEASON)
     return tidy(rest.groupBy("season").agg(F.count(F.lit(1)).alias("n"), F.sum("pts").alias("pts")))
 
 
@@ -45,8 +45,7 @@ DAY = "1997-03-15"
 
 @query("scan_by_date", f"WITH {T.LOG_SQL} SELECT {i8('game_id')}, game_date, {i8('team_id')}, matchup, wl FROM log WHERE game_date = DATE '{DAY}'")
 def scan_by_date(spark, sf_dir):
-    log = T.game_log(spark, sf_dir)
-    return tidy(log.filter(F.col("game_date") == F.lit(DAY).cast("date")), "game_id", "game_date", "team_id", "matchup", "wl")
+    return tidy(T.season_log(spark, sf_dir, since=DAY, until=DAY), "game_id", "game_date", "team_id", "matchup", "wl")
 
 
 @query("ingest_seasons", f"WITH {T.LOG_SQL} SELECT season, count(*) AS n, count(DISTINCT game_id) AS games, min(game_date) AS first_day, max(game_date) AS last_day FROM log GROUP BY season")

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from paircast.functions.boxscore import season_label
 from paircast.functions.prediction import array_mean, array_spread, confidence, confidence_tier
-from paircast.session import stored
+from paircast.session import shared_dir, stored
+from paircast.sources.files import content_key, once, read_by_season, write_by_season
 
 TEAMS = 30
 
@@ -122,6 +123,14 @@ def stored_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(game_log(spark, sf_dir), "game-log")
 
 
+def season_log(spark: SparkSession, sf_dir: str, **asked) -> DataFrame:
+    """The log stored by season, made once for the input files; `asked` as in `read_by_season`."""
+    log = game_log(spark, sf_dir)
+    folder = f"{shared_dir(spark).rstrip('/')}/season-log-{content_key(log)}"
+    path = once(spark, folder, lambda out: write_by_season(log, out, replace_all=True))
+    return read_by_season(spark, path, log.schema, **asked)
+
+
 def teams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The team dimension: nations; contest ids beyond it are exhibition teams."""
     nation = table(spark, sf_dir, "nation")

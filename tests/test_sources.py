@@ -201,3 +201,44 @@ def test_odds_cache(spark, tmp_path):
     rows = spark.createDataFrame([("2024-01-01", 1.5), ("2024-01-02", 1.7)], "game_date string, home_avg_odds double")
     append_odds(rows, path)
     assert [str(r.game_date) for r in read_odds_features(spark, path).orderBy("game_date").collect()] == ["2024-01-01", "2024-01-02"]
+
+
+def test_scans_open_the_asked_seasons_only(spark, log, tmp_path):
+    from paircast.sources.files import read_by_season, write_by_season, write_table
+
+    path = f"{tmp_path}/seasons"
+    write_by_season(log, path, replace_all=True)
+    read = lambda **asked: read_by_season(spark, path, log.schema, **asked)
+    plan = lambda df: df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+
+    def same(got, want):
+        assert got.columns == want.columns and got.count() > 0
+        assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+
+    asked = read(season="1996-97")
+    same(asked, log.filter("season = '1996-97'"))
+    assert "PartitionFilters: [isnotnull(season#" in plan(asked) and "= 1996-97)" in plan(asked)
+    same(read(exclude="1996-97"), log.filter("season <> '1996-97'"))
+    days = read(since="1996-08-20", until="1996-12-10")
+    same(days, log.filter("game_date between date'1996-08-20' and date'1996-12-10'"))
+    shown = next(line for line in plan(days).splitlines() if "PartitionFilters" in line)
+    assert ">= 1995-96" in shown or ">= 1996-97" in shown
+    assert "<= 1996-97" in shown
+    write_table(log.select("season").distinct().withColumn("asked", F.col("season") > "1996"), f"{tmp_path}/dim")
+    among = read(among=spark.read.parquet(f"{tmp_path}/dim").filter("asked"))
+    same(among, log.filter("season > '1996'"))
+    assert "dynamicpruning" in plan(among)
+
+
+@pytest.mark.parametrize("expiry", ["0 seconds", "1 day"])
+def test_late_repeats_are_dropped_after_their_state_expired(spark, tmp_path, expiry):
+    schema = "code string, n int"
+    landings = [[("a", 1), ("a", 1), ("b", 1), (None, 1)], [("a", 1), ("c", 1), (None, 1)], [("b", 2), ("b", 1), ("c", 1)]]
+    into, out = f"{tmp_path}/in", f"{tmp_path}/out"
+    for rows in landings:
+        frame = spark.createDataFrame(rows, schema)
+        frame.coalesce(1).write.mode("append").parquet(into)
+        known = streams.written_so_far(spark, out, frame.schema)
+        streams.run_available(streams.first_deliveries(streams.file_stream(spark, into, frame.schema), ["code", "n"], known, expiry), out)
+    got = [tuple(r) for r in spark.read.parquet(out).collect()]
+    assert sorted(got, key=str) == sorted({row for rows in landings for row in rows}, key=str)
