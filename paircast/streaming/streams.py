@@ -124,8 +124,12 @@ class _Ratings(StatefulProcessor):
         pass
 
 
-#: State kept team by team needs the store that holds single keys.
-_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+#: State kept team by team needs the store that holds single keys. Pools are many small
+#: stores, which would each take 4 MB of disk in advance on every executor.
+_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def rate_stream(contests: DataFrame, snapshot: DataFrame | None = None) -> DataFrame:
@@ -144,13 +148,14 @@ def rate_stream(contests: DataFrame, snapshot: DataFrame | None = None) -> DataF
 @contextmanager
 def keyed_state(spark: SparkSession) -> Iterator[None]:
     """Streams started inside keep their state in the store by key; a stream must be restarted in it as well."""
-    name, provider = _STORE
-    before = spark.conf.get(name)
-    spark.conf.set(name, provider)
+    before = {name: spark.conf.get(name, None) for name in _STORE}
+    for name, value in _STORE.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def backfill_stream(predictions: DataFrame, results: DataFrame, delay: str = "7 days", within: str | None = None) -> DataFrame:
