@@ -144,3 +144,16 @@ def test_long_windows(spark):
     past = pd.Series(values).shift(1)
     assert np.allclose(got["pts_roll_mean"], past.rolling(2100, min_periods=5).mean(), atol=1e-9, equal_nan=True)
     assert np.allclose(got["pts_ewm"], past.ewm(span=10, min_periods=5).mean(), atol=1e-9, equal_nan=True)
+
+
+def test_rolling_values_are_those_of_window_expressions(spark):
+    rows = [
+        (i, f"1997-01-{1 + i % 28:02d}", "ab"[i % 2], None if i % 11 == 0 else i % 40, float("nan") if i % 7 == 0 else 1e15 if i < 9 else 0.1 * (i % 13))
+        for i in range(300)
+    ]
+    log = spark.createDataFrame(rows, "game_id int, day string, team_id string, pts int, pace double").withColumn("game_date", F.to_date("day")).drop("day")
+    features = form.form_features(log, stats=("pts", "pace"), window=6, ewm=False, momentum=False)
+    order = Window.partitionBy("team_id").orderBy("game_date", "game_id")
+    expected = log.withColumns(form._rolling_columns(log, order, ("pts", "pace"), 6)).select(features.columns)
+    assert sorted(map(str, features.collect())) == sorted(map(str, expected.collect()))
+    assert "stddev_samp" not in features._jdf.queryExecution().executedPlan().toString()
