@@ -159,35 +159,41 @@ def _grams(text: Column, size: Column) -> Column:
     return F.when(F.length(text) >= size, F.array_distinct(F.transform(starts, lambda i: text.substr(i, size))))
 
 
+def _texts(names: DataFrame, key: str, name: str) -> DataFrame:
+    return names.select(F.col(key).alias("_id"), F.lower(name).alias("_name")).filter("_name is not null and _id is not null")
+
+
 def _holding(words: DataFrame, names: DataFrame, key: str, name: str) -> DataFrame:
-    """Pairs (`word`, `_id`) of distinct lower-case words and the names that contain them.
+    """Pairs of distinct lower-case words (`word`) and the names that contain them (`_name`), with the name's smallest key (`_id`).
 
-    Names are indexed by their substrings of up to GRAM characters. A word asks
+    Rows of one name are searched once. No join here is broadcast: planned by
+    the size of compressed files, names and postings would pass through the
+    driver. Names are indexed by their substrings of up to GRAM characters. A word asks
     for those of its own that the fewest names hold; names in all of these
     postings are compared with the word. A posting list is split in SALTS
     parts, so that a substring of a third of all names is no single task.
     """
     word, text = F.col("word"), F.col("_name")
-    texts = names.select(F.col(key).alias("_id"), F.lower(name).alias("_name")).filter("_name is not null")
+    texts = _texts(names, key, name).groupBy("_name").agg(F.min("_id").alias("_id"))
     asked = words.distinct().withColumn("_gram", F.explode(_grams(word, F.least(F.length(word), F.lit(GRAM)))))
     held = F.array_compact(F.array(*[_grams(text, F.lit(size)) for size in range(GRAM + 1)]))
-    postings = texts.select("_id", F.explode(F.flatten(held)).alias("_gram")).join(asked.select("_gram").distinct(), "_gram", "left_semi")
+    postings = texts.select("_id", F.explode(F.flatten(held)).alias("_gram")).join(asked.select("_gram").distinct().hint("merge"), "_gram", "left_semi")
     sizes = postings.groupBy("_gram").agg(F.count(F.lit(1)).alias("_held"))
     by_size = Window.partitionBy("word").orderBy(F.coalesce("_held", F.lit(0)), "_gram")
     chosen = (
-        asked.join(sizes, "_gram", "left")
+        asked.join(sizes.hint("merge"), "_gram", "left")
         .withColumn("_place", F.row_number().over(by_size))
         .filter(F.col("_place") <= RAREST)
         .withColumn("_needed", F.count(F.lit(1)).over(Window.partitionBy("word")))
     )
     candidates = (
         chosen.select("word", "_gram", "_needed", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("_part"))
-        .join(postings.withColumn("_part", F.pmod(F.xxhash64("_id"), F.lit(SALTS).cast("long"))), ["_gram", "_part"])
+        .join(postings.withColumn("_part", F.pmod(F.xxhash64("_id"), F.lit(SALTS).cast("long"))).hint("merge"), ["_gram", "_part"])
         .groupBy("word", "_id")
         .agg(F.count(F.lit(1)).alias("_met"), F.first("_needed").alias("_needed"))
         .filter("_met >= _needed")
     )
-    return candidates.join(texts, "_id").filter(F.contains(text, word)).select("word", "_id").distinct()
+    return candidates.join(texts.hint("merge"), "_id").filter(F.contains(text, word)).select("word", "_name", "_id")
 
 
 def names_containing(searches: DataFrame, search: str, names: DataFrame, key: str, name: str) -> DataFrame:
@@ -197,7 +203,8 @@ def names_containing(searches: DataFrame, search: str, names: DataFrame, key: st
     does a text of articles only.
     """
     asked = searches.select(search).distinct().withColumn("word", F.explode(_words(F.col(search))))
-    return asked.join(_holding(asked.select("word"), names, key, name), "word").select(search, F.col("_id").alias(key)).distinct()
+    held = asked.join(_holding(asked.select("word"), names, key, name).hint("merge"), "word").select(search, "_name").distinct()
+    return held.join(_texts(names, key, name).hint("merge"), "_name").select(search, F.col("_id").alias(key)).distinct()
 
 
 def first_names_containing(searches: DataFrame, search: str, names: DataFrame, key: str, name: str) -> DataFrame:
@@ -208,7 +215,7 @@ def first_names_containing(searches: DataFrame, search: str, names: DataFrame, k
     """
     asked = searches.select(search).filter(F.col(search).isNotNull()).distinct().withColumn("word", F.lower(search))
     first = _holding(asked.select("word"), names, key, name).groupBy("word").agg(F.min("_id").alias(key))
-    return asked.join(first, "word").drop("word")
+    return asked.join(first.hint("merge"), "word").drop("word")
 
 
 def value_edge(priced: DataFrame, prob: str = "home_win_prob") -> DataFrame:

@@ -51,3 +51,15 @@ def test_no_pair_is_made_of_names_that_hold_no_rare_part(tables):
     names, searches = tables
     plan = odds.names_containing(searches, "search", names, "id", "name")._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_search_broadcasts_nothing(spark):
+    """Small files of many names must not be collected on the driver."""
+    names = spark.createDataFrame([(1, "Small Ring"), (2, "small ring"), (3, "Gear"), (None, "ring")], "id int, name string")
+    searches = spark.createDataFrame([("RING",), ("a",)], "search string")
+    first = odds.first_names_containing(searches, "search", names, "id", "name")
+    both = odds.names_containing(searches, "search", names, "id", "name")
+    for df in (first, both):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, first.collect())) == [("RING", 1), ("a", 1)]
+    assert sorted(map(tuple, both.collect())) == [("RING", 1), ("RING", 2)]
