@@ -22,17 +22,21 @@ from functools import lru_cache
 from tokenizers import Tokenizer
 
 _SAFE = "!-~¡-ɏ"
-#: Something that the plain cut must not meet.
-_ODD = re.compile(f"(?:^|[ \n])(?=[ \n]|$)|[^ \n{_SAFE}]|İ|(?<![A-Za-z0-9À-ÖØ-öø-ɏ.,])[.,]")
+#: White space that the plain cut must not meet within a text, beside that at its ends, and full stops or commas.
+_RUNS = ("  ", " \n", "\n ", "\n\n")
+_LOOSE = re.compile("[.,](?<![A-Za-z0-9À-ÖØ-öø-ɏ.,][.,])")
 _PIECES = re.compile(r"[ \n]?[^ \n.,]+|[.,][^ \n]*")
+#: The same where a line break is a word of its own for the model.
+_BROKEN = re.compile(r"\n| ?[^ \n.,]+|[.,][^ \n]*")
 #: What a text of words must not hold to be cut at white space, and the same for ASCII.
-_UNPLAIN = re.compile(f"[^ \n{_SAFE}]|İ")
+_UNPLAIN = re.compile("[^ \n!-~¡-įı-ɏ]")  # without İ, whose lower case is two characters
 _ASCII = bytes([10, *range(32, 127)])
 #: Letters and the marks after them, which are encoded apart.
 _MARKED = re.compile(r"([^\W\d_]+)(\W+)")
 #: How byte-level models spell the bytes of a text: printable ones as they are, the others from U+0100 on.
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _SPELT = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+_SPACE = chr(_SPELT[32])
 _CUT = re.compile(f"(?<=[{_SAFE}])(?=[ \n][{_SAFE}])")
 #: Pieces in one of the two generations that a worker remembers: about 33 MB of words, or 130 MB of pieces with
 #: their white space and case, of which there are several for a word.
@@ -58,9 +62,12 @@ class _Ids(dict):
         # Where neither case nor white space leaves a trace in the ids, pieces that differ in them only are one.
         self.folds = len({tuple(tokenizer.encode(t, add_special_tokens=False).ids) for t in ("ab", "Ab", " aB", "\nAB")}) == 1
         # Where case and space count, whether the model takes words with them as byte-level spelling has them.
-        tries = ("word", " Word", " q", "zQXj", " aaaaB")
-        self.spelt = not self.folds and all(tokenizer.encode(t, add_special_tokens=False).ids == [token.id for token in self.model.tokenize(t.translate(_SPELT))] for t in tries)
-
+        letters = "".join(c for c in map(chr, range(0xA1, 0x250)) if c.isalpha() and not _UNPLAIN.search(c))
+        tries = ("word", " Word", " q", "zQXj", " aaaaB", " naïve", "Œuvre", letters)
+        self.spelt = not self.folds and all(tokenizer.encode(t, add_special_tokens=False).ids == self.spelling(t) for t in tries)
+        after = ("word", "Word", "é", "1", "(", "'s", "-", "²", "<")
+        alone = lambda t: tokenizer.encode(t, add_special_tokens=False).ids
+        self.pieces = _BROKEN if self.spelt and all(alone(f"a\n{t}") == alone("a") + alone("\n") + alone(t) for t in after) else _PIECES
         self.older: dict[str, bytes] = {}
 
     def keep(self, piece: str, ids: bytes) -> bytes:
@@ -70,17 +77,21 @@ class _Ids(dict):
         self[piece] = ids
         return ids
 
+    def spelling(self, piece: str) -> list[int]:
+        """Ids of a word of letters, after a space at most, straight from the merges."""
+        word = piece.removeprefix(" ")
+        spelt = word if word.isascii() else word.encode().decode("latin-1").translate(_SPELT)
+        return [token.id for token in self.model.tokenize(spelt if word == piece else _SPACE + spelt)]
+
     def __missing__(self, piece: str) -> bytes:
         if piece in self.older:
             return self.keep(piece, self.older[piece])
         if self.folds and piece.isalpha() and piece.islower() and not _UNPLAIN.search(piece):
             # One word as the model gets it: nothing to normalise or to cut.
-            spelt = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_SPELT)
-            return self.keep(piece, _packed([token.id for token in self.model.tokenize(spelt)]))
-        word = piece.removeprefix(" ")
-        if self.spelt and word.isascii() and word.isalpha():
+            return self.keep(piece, _packed(self.spelling(piece)))
+        if self.spelt and piece.removeprefix(" ").isalpha() and not _UNPLAIN.search(piece):
             # Letters after a space at most are one word of the model as well.
-            return self.keep(piece, _packed([token.id for token in self.model.tokenize(piece.translate(_SPELT))]))
+            return self.keep(piece, _packed(self.spelling(piece)))
         return self.keep(piece, _packed(self.tokenizer.encode(piece, add_special_tokens=False).ids))
 
     def of_words(self, words: list[str]) -> bytes:
@@ -103,20 +114,33 @@ def _ids(path: str) -> _Ids:
     return _Ids(tokenizer)
 
 
+def _unplain(text: str) -> bool:
+    return bool(text.encode().translate(None, _ASCII) if text.isascii() else _UNPLAIN.search(text))
+
+
+def _odd(text: str) -> bool:
+    """Whether a text, not empty, holds something that the plain cut must not meet.
+
+    Every test is one scan for a few characters: one pattern of all of them
+    would be tried at every place of the text.
+    """
+    return text[0] in " \n" or text[-1] in " \n" or any(run in text for run in _RUNS) or _unplain(text) or _LOOSE.search(text) is not None
+
+
 def encode(path: str, text: str | None) -> bytes:
     """The ids of a text without special tokens as little-endian unsigned 32-bit integers; null is empty."""
     if not text:
         return b""
     ids = _ids(path)
     if ids.folds:
-        if text.encode().translate(None, _ASCII) if text.isascii() else _UNPLAIN.search(text):
+        if _unplain(text):
             pieces = _CUT.split(text)
         else:
             return ids.of_words(text.lower().split())
-    elif _ODD.search(text):
+    elif _odd(text):
         pieces = _CUT.split(text)
     else:
-        pieces = _PIECES.findall(text)
+        pieces = ids.pieces.findall(text)
     return b"".join(map(ids.__getitem__, pieces))
 
 

@@ -1,4 +1,5 @@
 import random
+import re
 import zlib
 
 import numpy as np
@@ -86,3 +87,29 @@ def test_registered_query(spark, sf_dir):
         ids = np.array(t.encode(d.text or "", add_special_tokens=False).ids + [2], "<u4")
         assert tuple(got[d.doc_id]) == (d.doc_id, start, len(ids), zlib.crc32(ids.tobytes()))
         start += len(ids)
+
+
+def test_words_of_letters_go_straight_to_the_merges(monkeypatch):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    ids = tokens._Ids(library("byte_bpe_50k.json"))
+    asked = []
+
+    class Asked:
+        def encode(self, text, **options):
+            asked.append(text)
+            return library_cache("byte_bpe_50k.json").encode(text, **options)
+
+    ids.tokenizer = Asked()
+    monkeypatch.setattr(tokens, "_ids", lambda path: ids)
+    text = "Étude naïve\nŒuvre chez ré\nWord after word, l'été"
+    got = np.frombuffer(tokens.encode(path, text), "<u4").tolist()
+    assert got == library_cache("byte_bpe_50k.json").encode(text, add_special_tokens=False).ids
+    assert sorted(asked) == ["\n", " l'été", ","]
+
+
+def test_texts_that_the_plain_cut_must_not_meet():
+    odd = re.compile("(?:^|[ \n])(?=[ \n]|$)|[^ \n!-~¡-ɏ]|İ|(?<![A-Za-z0-9À-ÖØ-öø-ɏ.,])[.,]")
+    deal = random.Random(7)
+    for _ in range(20000):
+        text = "".join(deal.choices("ab Z9.,\n!×÷éİįıɏɐ ́\t-¡", k=deal.randint(1, 7)))
+        assert tokens._odd(text) == bool(odd.search(text)), repr(text)
