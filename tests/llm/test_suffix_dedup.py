@@ -75,3 +75,18 @@ def test_registered_query(spark, sf_dir):
 
     docs = [(r.doc_id, r.text, None) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     assert rows_of(QUERIES["op4_suffix_dedup"](spark, sf_dir)) == brute(docs, 400)
+
+
+def test_anchors_are_found_in_small_portions(monkeypatch):
+    """Arrays of eight bytes a byte of text must not be those of a whole batch: two workers share an executor."""
+    import pyarrow as pa
+
+    sizes = []
+    found = sd.anchors
+    monkeypatch.setattr(sd, "anchors", lambda blobs, *rest: sizes.append(sum(map(len, blobs))) or found(blobs, *rest))
+    rng = random.Random(4)
+    texts = ["".join(rng.choices("abcdefgh ", k=3000)) for _ in range(400)]
+    batch = pa.RecordBatch.from_pydict({"text": texts, "_id": range(400), "_hash": range(400)})
+    rows = sum(len(r) for r in sd._find_anchors(400, 32)([batch]))
+    whole = found([t.encode() for t in texts], 400, 32)
+    assert rows == len(whole[0]) and max(sizes) <= 1 << 18 and sum(sizes) == 400 * 3000
