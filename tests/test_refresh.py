@@ -69,3 +69,23 @@ def test_every_default(spark, con, sf_dir):
 @pytest.mark.parametrize("name", ["feature_refresh", "incr_features", "season_replace", "incr_season_refresh", "feature_defaults"])
 def test_query_equals_sql(spark, con, sf_dir, name):
     assert difference(spark, con, sf_dir, QUERIES[name], ORACLES[name]) is None
+
+
+def test_rows_of_an_entity_meet_in_parts(spark, log, monkeypatch):
+    """The carries come from parts of an entity's rows, joined, and are those of all its rows at once."""
+    from paircast.operators import form
+
+    rich = G.advanced_metrics(G.four_factors(log))
+    monkeypatch.setattr(form, "BLOCK_ROWS", 10**6)
+    want = {r.team_id: r.asDict(recursive=True) for r in form.ewm_carries(rich).collect()}
+    monkeypatch.setattr(form, "BLOCK_ROWS", 7)
+    keys, sums = [], form._ewm_sums
+    monkeypatch.setattr(form, "_ewm_sums", lambda rows, by, stats: keys.append(by) or sums(rows, by, stats))
+    got = {r.team_id: r.asDict(recursive=True) for r in form.ewm_carries(rich).collect()}
+    assert keys == [["team_id", "_part"]] and got.keys() == want.keys() and len(got) > 3
+    for team, row in want.items():
+        assert got[team]["tail_rows"] == row["tail_rows"]
+        for name, carry in row.items():
+            if name.startswith("carry_"):
+                assert {k: got[team][name][k] for k in ("n", "behind")} == {k: carry[k] for k in ("n", "behind")}
+                assert all(carry[k] == got[team][name][k] or math.isclose(carry[k], got[team][name][k], rel_tol=1e-12) for k in ("mean", "weight"))
