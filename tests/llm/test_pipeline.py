@@ -7,6 +7,7 @@ from test_ngram_join import brute as linked
 from test_packing import check_ids, check_layout
 from test_suffix_dedup import brute as repeats
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from paircast.llm import decontaminate, language
@@ -79,3 +80,15 @@ def test_registered():
     assert "pipeline" in QUERIES and "pipeline" not in ORACLES
     for n in range(1, 14):
         assert sum(q.startswith(f"op{n}_") for q in QUERIES) == 1
+
+
+def test_long_texts_come_in_small_batches(spark, sf_dir):
+    docs = spark.range(0, 60, 1, 1).select(F.repeat(F.lit("long text "), 50000).alias("text"))
+
+    def most(batches):
+        yield pa.RecordBatch.from_pydict({"rows": pa.array([max(b.num_rows for b in batches)], pa.int64())})
+
+    for name, stage in corpus_pipeline.STAGES:
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+        stage(spark, frame(spark, []), sf_dir)
+        assert docs.mapInArrow(most, "rows long").first()[0] <= 10, name
