@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import pytest
 
+from paircast.plans import training as M
 from paircast.workload import model_queries as Q
 
 
-@pytest.mark.parametrize("query, module, reader", [("scale_features", Q, "chronological_split")])
+@pytest.mark.parametrize("query, module, reader", [("scale_features", Q, "chronological_split"), ("train_logistic", M, "training_rows")])
 def test_what_is_read_several_times_is_stored(spark, sf_dir, monkeypatch, query, module, reader):
     class Read(Exception):
         pass
